@@ -36,12 +36,17 @@ class CandleArchive:
     def _table(self, name: str) -> str:
         return f"{self.database}.{name}"
 
+    def _stored(self, name: str) -> DataFrame:
+        # another session, such as the one a stream runs in, may have written since this one last looked
+        self.spark.catalog.refreshTable(self._table(name))
+        return self.spark.table(self._table(name))
+
     # --- reading ---------------------------------------------------------------------------------------------
     def candles(self) -> DataFrame:
-        return self.spark.table(self._table("candles")).select(*COLUMNS)
+        return self._stored("candles").select(*COLUMNS)
 
     def registry(self) -> DataFrame:
-        return self.spark.table(self._table("series_registry"))
+        return self._stored("series_registry")
 
     def scan(
         self,
@@ -52,7 +57,7 @@ class CandleArchive:
         end: datetime | None = None,
     ) -> DataFrame:
         """Candles of one class and interval; dates also become partition filters."""
-        rows = self.spark.table(self._table("candles")).where(
+        rows = self._stored("candles").where(
             (F.col("asset_class") == asset_class) & (F.col("time_interval") == check_interval(time_interval))
         )
         moment = lambda d: F.lit(d).cast("timestamp_ntz")
@@ -76,7 +81,7 @@ class CandleArchive:
     def progress(self) -> DataFrame:
         """Last ID and latest time of every series that has candles."""
         return (
-            self.spark.table(self._table("series_log"))
+            self._stored("series_log")
             .groupBy(*SERIES)
             .agg(F.max("last_id").alias("last_id"), F.max_by("latest", "last_id").alias("latest"))
         )
@@ -102,7 +107,7 @@ class CandleArchive:
         if span.low is None:
             return once
         moment = lambda d: period_of(F.lit(d).cast("timestamp_ntz"))
-        stored = self.spark.table(self._table("candles")).where(
+        stored = self._stored("candles").where(
             F.col("period").between(moment(span.low), moment(span.high))
         )
         return once.join(stored.select(*SERIES, "datetime"), [*SERIES, "datetime"], "left_anti")
@@ -119,7 +124,7 @@ class CandleArchive:
             return
         # candles of an append that failed before it was logged lie in the same months
         recent = (
-            self.spark.table(self._table("candles"))
+            self._stored("candles")
             .where(F.col("period") >= period_of(F.lit(span.low).cast("timestamp_ntz")))
             .groupBy(*SERIES)
             .agg(F.max("ID").alias("_recent"))
@@ -146,18 +151,15 @@ class CandleArchive:
         rows = candles.withColumn("period", period_of(F.col("datetime")))
         # a range shuffle keeps a busy month or series spread over tasks and gives each file a narrow key range
         rows = rows.repartitionByRange(*layout).sortWithinPartitions(*layout)
-        stored = self.spark.table(self._table("candles")).columns
-        writer = rows.select(*stored).write.mode(mode)
-        if mode == "overwrite":
-            writer = writer.option("partitionOverwriteMode", "dynamic")
-        writer.insertInto(self._table("candles"))
+        stored = self._stored("candles").columns
+        rows.select(*stored).write.mode(mode).insertInto(self._table("candles"))
 
     def drop_series(self, asset_class: str, time_interval: str, series_key: str) -> None:
         """Forget a series: its candles, its registration and its log. Unknown series are ignored."""
         is_it = self._is(asset_class, time_interval, series_key)
         self._remove(is_it)
         for name in ("series_registry", "series_log"):
-            kept = materialise(self.spark.table(self._table(name)).where(~is_it))
+            kept = materialise(self._stored(name).where(~is_it))
             kept.write.mode("overwrite").insertInto(self._table(name))
 
     def delete_row(self, asset_class: str, time_interval: str, series_key: str, id_: int) -> None:
@@ -165,24 +167,28 @@ class CandleArchive:
         is_series = self._is(asset_class, time_interval, series_key)
         self._remove(is_series & (F.col("ID") == id_))
         now = (
-            self.spark.table(self._table("candles"))
+            self._stored("candles")
             .where(is_series)
             .groupBy(*SERIES)
             .agg(F.max("ID").alias("last_id"), F.max_by("datetime", "ID").alias("latest"))
         )
-        log = self.spark.table(self._table("series_log")).where(~is_series).unionByName(now)
+        log = self._stored("series_log").where(~is_series).unionByName(now)
         materialise(log).write.mode("overwrite").insertInto(self._table("series_log"))
 
     def _remove(self, condition) -> None:
-        """Rewrite the months that hold matching candles; a month left empty is dropped."""
-        table = self.spark.table(self._table("candles"))
+        """Rewrite the months that hold matching candles of one series; a month left empty is dropped."""
+        table = self._stored("candles")
         part = ["asset_class", "time_interval", "period"]
-        hit = table.where(condition).select(*part).distinct()
-        touched = hit.collect()  # partitions of one series: one row per month
+        touched = table.where(condition).select(*part).distinct().collect()  # one row per month of one series
         if not touched:
             return
-        kept = materialise(table.join(F.broadcast(hit), part, "left_semi").where(~condition))
-        left = {tuple(r) for r in kept.select(*part).distinct().collect()}
+        in_touched = (
+            (F.col("asset_class") == touched[0].asset_class)
+            & (F.col("time_interval") == touched[0].time_interval)
+            & F.col("period").isin([row.period for row in touched])
+        )
+        kept = materialise(table.where(in_touched).where(~condition))
+        left = {tuple(row) for row in kept.select(*part).distinct().collect()}
         self._write(kept.drop("period"), "overwrite")
         for row in touched:
             if tuple(row) not in left:

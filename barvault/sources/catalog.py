@@ -55,7 +55,9 @@ def build_warehouse(spark: SparkSession, database: str, location: str) -> None:
     for name in schemas.TABLES:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({schemas.ddl(name)}) USING parquet")
     for name, (columns, partitions) in ARCHIVE_TABLES.items():
-        split = f"PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
+        # an overwrite replaces only the partitions it writes to
+        dynamic = "OPTIONS (partitionOverwriteMode 'dynamic') " if partitions else ""
+        split = f"{dynamic}PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet {split}")
     for name, query in VIEWS.items():
         spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS {query.format(db=database)}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barvault import schemas
+from barvault.session import materialise
 from barvault.sources.archive import SERIES, CandleArchive
 from barvault.sources.landing import page_candles
 
@@ -38,8 +39,9 @@ def ingest_pages(
     )
 
     def store(batch: DataFrame, _epoch: int) -> None:
-        known = batch.join(archive.registry(), list(SERIES), "left_semi")
-        archive.append(known)
+        # the batch is read several times below; the stream's state must be run once
+        target = CandleArchive(batch.sparkSession, archive.database)
+        target.append(materialise(batch.join(target.registry(), list(SERIES), "left_semi")))
 
     return (
         deduplicated.writeStream.foreachBatch(store)
