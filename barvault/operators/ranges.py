@@ -83,6 +83,8 @@ def fetch_positions(
     last = rows.groupBy(*keys).agg(F.max(position).alias("_last"))
     asked = (
         requests.select(*carry, *keys, F.col(low).alias("_low"), F.col(high).alias("_high"))
+        # without both bounds there is nothing to fetch; least() and greatest() below would skip the NULL
+        .where("_low IS NOT NULL AND _high IS NOT NULL")
         .join(last, list(keys))
         .withColumn("_high", F.least("_high", "_last"))
         .withColumn("_low", F.greatest("_low", F.lit(0)))
