@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from barvault.operators import segments
 
 AMOUNT = "decimal(24,4)"
-TRADES_PER_SEGMENT = 8192
+TRADES_PER_SEGMENT = 65_536
 
 
 class Scheme(NamedTuple):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barvault.errors import DataNotPresent, DataUncertain
 from barvault.operators import segments
-from barvault.operators.asof import closest_id, nearest
+from barvault.operators.asof import bracket, closest_id
 
 # Rows per block of the positional fetch: a join key never gathers more rows of a series than this.
 BLOCK_ROWS = 1024
@@ -23,14 +23,23 @@ KEYS = ("series_key",)
 
 
 # --- points ----------------------------------------------------------------------------------------------------
-def point_lookup(requests: DataFrame, candles: DataFrame, at: str = "at", keys: Sequence[str] = KEYS) -> DataFrame:
+def point_lookup(
+    requests: DataFrame,
+    candles: DataFrame,
+    at: str = "at",
+    keys: Sequence[str] = KEYS,
+    values: Sequence[str] = ("ID", "open", "close", "high", "low", "volume"),
+) -> DataFrame:
     """Answer (series, exact time) requests; ``status`` is ok, not_present or uncertain (more than one candle).
 
-    The candle columns are filled only for ``ok``.
+    The ``values`` are filled only for ``ok``. Candles nobody asks for are left out before they are grouped.
     """
-    values = [c for c in candles.columns if c not in (*keys, "datetime")]
-    by_time = candles.groupBy(*keys, "datetime").agg(
-        F.count(F.lit(1)).alias("_hits"), *[F.max(c).alias(c) for c in values]
+    on = [*keys, "datetime"]
+    asked = requests.select(*keys, F.col(at).alias("datetime")).distinct()
+    by_time = (
+        candles.join(asked, on, "left_semi")
+        .groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("_hits"), *[F.max(c).alias(c) for c in values])
     )
     single = F.col("_hits") == 1
     return (
@@ -139,8 +148,7 @@ def id_bracket(requests: DataFrame, candles: DataFrame, interval: str, keys: Seq
     bad_arguments, or not_present when a given date has no candle on its side.
     """
     full = complete_requests(requests)
-    found = nearest(full, candles, ">=", at="start", out="_low", interval=interval, keys=keys)
-    found = nearest(found, candles, "<=", at="end", out="_high", interval=interval, keys=keys)
+    found = bracket(full, candles, start="start", end="end", low="_low", high="_high", interval=interval, keys=keys)
     low, high, n = F.col("_low"), F.col("_high"), F.col("n")
     lost = (F.col("start").isNotNull() & low.isNull()) | (F.col("end").isNotNull() & high.isNull())
     status = F.when((F.col("status") == "ok") & lost, "not_present").otherwise(F.col("status"))
@@ -174,8 +182,9 @@ def fetch_by_dates(
             candles, keys, ["datetime", "ID"], segments.calendar_segment(F.col("datetime"), interval), place
         )
     full = complete_requests(requests).where("status = 'ok'")
-    found = nearest(full, candles, ">=", at="start", out="_from", interval=interval, value=place, keys=keys)
-    found = nearest(found, candles, "<=", at="end", out="_to", interval=interval, value=place, keys=keys)
+    found = bracket(
+        full, candles, start="start", end="end", low="_from", high="_to", interval=interval, value=place, keys=keys
+    )
     first, last, n = F.col("_from"), F.col("_to"), F.col("n")
     both = F.col("start").isNotNull() & F.col("end").isNotNull()
     low = F.when(F.col("start").isNotNull(), first).otherwise(last - n + 1)

@@ -169,11 +169,20 @@ for _name, _table in {
     "a4_country_values": "country_values",
 }.items():
     _from_tables(_name, _table)
-ORACLE["j7_stock_rejects"] = f"""WITH {TABLES}
-SELECT "ID", symbol, concat_ws(',', CASE WHEN currency IS NULL THEN 'currency' END,
-       CASE WHEN exchange IS NULL THEN 'exchange' END, CASE WHEN country IS NULL THEN 'country' END,
-       CASE WHEN type IS NULL THEN 'type' END, CASE WHEN plan IS NULL THEN 'plan' END) AS missing
-FROM judged WHERE currency IS NULL OR exchange IS NULL OR country IS NULL OR type IS NULL OR plan IS NULL"""
+ORACLE["j7_stock_rejects"] = f"""WITH {TABLES},
+listed AS (SELECT * FROM exchange_list WHERE timezone <> 'ASIA'),
+found AS (
+    SELECT j."ID", j.symbol, j.currency, j.type, l.code AS exchange,
+           (SELECT count(*) FROM (SELECT country FROM listed UNION SELECT 'Unknown') c(name)
+            WHERE c.name = CASE WHEN e.country = '' THEN 'Unknown' ELSE e.country END) > 0 AS country,
+           e.access_plan IN (SELECT access_plan FROM listed) AS plan
+    FROM judged j JOIN equity_list e ON e.symbol = j.symbol LEFT JOIN listed l ON l.code = e.mic_code),
+named AS (
+    SELECT "ID", symbol, concat_ws(',', CASE WHEN currency IS NULL THEN 'currency' END,
+           CASE WHEN exchange IS NULL THEN 'exchange' END, CASE WHEN NOT country THEN 'country' END,
+           CASE WHEN type IS NULL THEN 'type' END, CASE WHEN NOT plan THEN 'plan' END) AS missing
+    FROM found)
+SELECT * FROM named WHERE missing <> ''"""
 ORACLE["j4_tracked_indexes"] = f"""WITH {TABLES}
 SELECT s.name AS equity_name, s.symbol, m.name AS market_name, c_mktsegment = 'BUILDING' AS is_tracked_1day,
        c_acctbal > 0 AS is_tracked_1min, c_mktsegment AS worker_name

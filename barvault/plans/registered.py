@@ -213,8 +213,10 @@ def loaded_table(spark, sf_dir, name):
 
 @register("j7_stock_rejects")
 def j7(spark, sf_dir):
-    """Sold parts whose supplier nation is never a currency, and parts nobody sold."""
-    return dimensions.rejected(Loaded(spark, sf_dir).judged_stocks)
+    """Equities whose exchange, and with it country or plan, is missing when no exchange of one time zone is loaded."""
+    tables = Loaded(spark, sf_dir)
+    tables.exchange_list = tables.exchange_list.where("timezone <> 'ASIA'")
+    return dimensions.rejected(tables.judged_stocks)
 
 
 @register("j4_tracked_indexes")
@@ -487,7 +489,7 @@ def p8_doubles(spark, sf_dir):
         F.col("event_type").alias("series_key"), hour(F.col("ts")).alias("datetime"), F.col("event_id").alias("ID")
     )
     asked = adapters.probes(spark, sf_dir).withColumn("at", hour(F.col("at")))
-    return ranges.point_lookup(asked, points)
+    return ranges.point_lookup(asked, points, values=["ID"])
 
 
 @register("p9_by_id")
