@@ -77,19 +77,23 @@ def read_pages(spark: SparkSession, path: str, multi_line: bool = False) -> Data
 
 def page_candles(pages: DataFrame) -> DataFrame:
     """Every value of every good page as a typed candle, with the series it belongs to."""
-    rows = good_responses(pages, "values").select("meta", F.explode("values").alias("v"))
-    pair = text.looks_like_pair(F.col("meta.symbol"))
-    key = F.when(pair, text.forex_key(F.col("meta.symbol"), F.col("meta.interval"))).otherwise(
-        text.equity_key(F.col("meta.symbol"), F.col("meta.mic_code"))
+    # the page fields become columns before the values are exploded, so the scan reads only these fields
+    page = good_responses(pages, "values").select(
+        "meta.symbol", F.col("meta.interval").alias("time_interval"), "meta.mic_code", "meta.currency", "values"
+    )
+    rows = page.select("symbol", "time_interval", "mic_code", "currency", F.explode("values").alias("v"))
+    pair = text.looks_like_pair(F.col("symbol"))
+    key = F.when(pair, text.forex_key(F.col("symbol"), F.col("time_interval"))).otherwise(
+        text.equity_key(F.col("symbol"), F.col("mic_code"))
     )
     price = lambda name: F.col(f"v.{name}").cast("decimal(10,5)").alias(name)
     return rows.select(
         F.when(pair, "forex").otherwise("equity").alias("asset_class"),
-        F.col("meta.interval").alias("time_interval"),
+        "time_interval",
         key.alias("series_key"),
-        F.col("meta.symbol").alias("symbol"),
-        F.col("meta.mic_code").alias("mic_code"),
-        F.col("meta.currency").alias("currency"),
+        "symbol",
+        "mic_code",
+        "currency",
         clock.parse_candle_time(F.col("v.datetime")).alias("datetime"),
         price("open"),
         price("close"),
