@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from barvault.errors import DataNotPresent
 from barvault.functions import clock
 from barvault.operators import segments
+from barvault.operators.joins import join_unique
 
 OPERATIONS = ("<=", ">=")  # fixed values
 KEYS = ("series_key",)
@@ -106,11 +107,8 @@ def answer(
         F.array_max(values) if backward else F.array_min(values), F.col("_before" if backward else "_after")
     )
     side = edges.select(*keys, "_cell", "_inside", "_before" if backward else "_after")
-    return (
-        asked.withColumn("_cell", clock.bucket_of(moment, interval))
-        .join(side, [*keys, "_cell"], "left")
-        .select(*asked.columns, found.alias(out))
-    )
+    located = asked.withColumn("_cell", clock.bucket_of(moment, interval))
+    return join_unique(located, side, [*keys, "_cell"]).select(*asked.columns, found.alias(out))
 
 
 def nearest(

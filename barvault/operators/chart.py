@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from barvault.functions import clock, prices, text
 from barvault.operators import segments
+from barvault.operators.joins import join_unique
 from barvault.operators.summaries import axis_bounds
 
 KEYS = ("series_key",)
@@ -139,7 +140,7 @@ def line_series(candles: DataFrame, which: str, interval: str, keys: Sequence[st
 def body_geometry(candles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Class, body bottom, signed body height and wick of every candle, scaled by the span of its series."""
     spans = candles.groupBy(*keys).agg(F.max("high").alias("_high"), F.min("low").alias("_low"))
-    return candles.join(spans, list(keys), "left").select(*keys, "ID", "datetime", *_geometry())
+    return join_unique(candles, spans, keys).select(*keys, "ID", "datetime", *_geometry())
 
 
 def _geometry() -> list[Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barvault.operators.joins import join_unique
+
 
 def ambiguous_keys(dimension: DataFrame, key: str) -> DataFrame:
     """Natural keys that more than one row of the dimension carries."""
@@ -30,22 +32,14 @@ def find_id(rows: DataFrame, natural: Column, dimension: DataFrame, key: str, ou
         F.col("_hits") > 1,
         F.raise_error(F.concat(F.lit(f"more than one row for {key} = "), F.col("_key"))).cast("int"),
     ).otherwise(F.col("_id"))
-    return (
-        rows.withColumn("_natural", natural)
-        .join(ids, F.col("_natural") == F.col("_key"), "left")
-        .withColumn(out, found)
-        .drop("_natural", "_key", "_id", "_hits")
-    )
+    return join_unique(rows.withColumn("_key", natural), ids, ["_key"]).withColumn(out, found).drop("_key", "_id", "_hits")
 
 
 def flag_known(worklist: DataFrame, column: str, catalogue: DataFrame, key: str, out: str) -> DataFrame:
     """Add a boolean: does ``key`` of the catalogue hold this value?"""
-    known = catalogue.select(F.col(key).alias("_known")).where(F.col("_known").isNotNull()).distinct()
-    return (
-        worklist.join(known, F.col(column) == F.col("_known"), "left")
-        .withColumn(out, F.col("_known").isNotNull())
-        .drop("_known")
-    )
+    known = catalogue.select(F.col(key).alias(column)).where(F.col(column).isNotNull()).distinct()
+    hits = join_unique(worklist, known.withColumn("_hit", F.lit(True)), [column])
+    return hits.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def only_known(worklist: DataFrame, column: str, catalogue: DataFrame, key: str) -> DataFrame:

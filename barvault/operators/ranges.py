@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barvault.errors import DataNotPresent, DataUncertain
 from barvault.operators import segments
 from barvault.operators.asof import bracket, closest_id
+from barvault.operators.joins import join_unique
 
 # Rows per block of the positional fetch: a join key never gathers more rows of a series than this.
 BLOCK_ROWS = 1024
@@ -43,7 +44,7 @@ def point_lookup(
     )
     single = F.col("_hits") == 1
     return (
-        requests.join(by_time.withColumnRenamed("datetime", at), [*keys, at], "left")
+        join_unique(requests, by_time.withColumnRenamed("datetime", at), [*keys, at])
         .withColumn(
             "status",
             F.when(F.col("_hits").isNull(), "not_present").when(single, "ok").otherwise("uncertain"),
@@ -91,10 +92,15 @@ def fetch_positions(
     block = lambda c: F.floor(c / BLOCK_ROWS)
     last = rows.groupBy(*keys).agg(F.max(position).alias("_last"))
     asked = (
-        requests.select(*carry, *keys, F.col(low).alias("_low"), F.col(high).alias("_high"))
-        # without both bounds there is nothing to fetch; least() and greatest() below would skip the NULL
-        .where("_low IS NOT NULL AND _high IS NOT NULL")
-        .join(last, list(keys))
+        join_unique(
+            # without both bounds there is nothing to fetch; least() and greatest() below would skip the NULL
+            requests.select(*carry, *keys, F.col(low).alias("_low"), F.col(high).alias("_high")).where(
+                "_low IS NOT NULL AND _high IS NOT NULL"
+            ),
+            last,
+            keys,
+            "inner",
+        )
         .withColumn("_high", F.least("_high", "_last"))
         .withColumn("_low", F.greatest("_low", F.lit(0)))
         .where("_low <= _high")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barvault.errors import DataUncertain
 from barvault.functions import text
+from barvault.operators.joins import join_unique
 from barvault.operators.lookups import flag_known
 from barvault.schemas import ALLOWED_INTERVALS
 
@@ -83,6 +84,4 @@ def flag_registered(worklist: DataFrame, registry: DataFrame) -> DataFrame:
     """Add ``registered``: is this series in the registry? Compared by equality, never by pattern."""
     on = ["asset_class", "time_interval", "series_key"]
     known = registry.select(*on).distinct().withColumn("_hit", F.lit(True))
-    return (
-        worklist.join(known, on, "left").withColumn("registered", F.coalesce("_hit", F.lit(False))).drop("_hit")
-    )
+    return join_unique(worklist, known, on).withColumn("registered", F.coalesce("_hit", F.lit(False))).drop("_hit")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barvault.errors import SeriesExists, SeriesNotFound
+from barvault.operators.joins import join_unique
 from barvault.operators.series import flag_registered, resolve_one, resolve_series
 from barvault.session import materialise
 from barvault.sources.archive import SERIES, CandleArchive
@@ -55,7 +56,7 @@ def update_series(
     )
     report = materialise(known.withColumn("status", status).drop("registered"))
     wanted = report.where("status = 'updated'").select(*SERIES, "latest").distinct()
-    rows = stitch(page_candles(pages)).join(wanted, list(SERIES))
+    rows = join_unique(stitch(page_candles(pages)), wanted, SERIES, "inner")
     rows = rows.where(F.col("latest").isNull() | (F.col("datetime") >= F.col("latest")))
     if end_date is not None:
         rows = rows.where(F.col("datetime") <= limit)

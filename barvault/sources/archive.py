@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barvault.errors import SeriesNotFound
 from barvault.functions import clock
 from barvault.operators import segments
+from barvault.operators.joins import join_unique
 from barvault.operators.series import check_interval
 from barvault.session import materialise
 
@@ -138,7 +139,7 @@ class CandleArchive:
         )
         numbered = materialise(
             segments.with_position(
-                fresh.join(last, list(SERIES)), SERIES, ["datetime"], F.col("datetime").cast("date"), "ID",
+                join_unique(fresh, last, SERIES, "inner"), SERIES, ["datetime"], F.col("datetime").cast("date"), "ID",
                 first=F.col("_first"),
             ).select(*COLUMNS)
         )
