@@ -17,7 +17,7 @@ def dense_ids(df: DataFrame, order: Sequence[str | Column], out: str = "ID") ->
     """Number the rows 0, 1, 2, … in the given order, which should be total.
 
     The sort is a range shuffle, so the rows stay spread; only one count per sorted partition is windowed. The sorted
-    rows are checkpointed because a repeated range shuffle may cut the range elsewhere.
+    rows are written out first because a repeated range shuffle may cut the range elsewhere.
     """
     placed = materialise(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
     part = F.shiftright("_place", _PARTITION_SHIFT)
