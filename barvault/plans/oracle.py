@@ -188,6 +188,16 @@ SELECT s.name AS equity_name, s.symbol, m.name AS market_name, c_mktsegment = 'B
        c_acctbal > 0 AS is_tracked_1min, c_mktsegment AS worker_name
 FROM customer LEFT JOIN stocks s ON s."ID" = c_custkey LEFT JOIN markets m ON s.exchange = m."ID\""""
 
+ORACLE["s17_table_rows"] = f"WITH {TABLES} " + " UNION ALL ".join(
+    f"SELECT '{_table}' AS table_name, count(*) AS \"rows\" FROM {_table}"
+    for _table in (
+        "countries", "currencies", "forex_currency_groups", "forex_pairs", "investment_types", "markets", "plans",
+        "stocks", "timezones",
+    )
+) + "".join(
+    f" UNION ALL SELECT '{_table}', 0" for _table in ("time_tracking_info", "candles", "series_registry", "series_log")
+)
+
 # --- search ----------------------------------------------------------------------------------------------------------
 _from_tables(
     "p2_fetch_markets", "markets_explained",

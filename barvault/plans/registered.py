@@ -26,7 +26,7 @@ from barvault.operators import (
     summaries,
     views,
 )
-from barvault.plans import adapters, series_updates
+from barvault.plans import adapters, load_lists, series_updates
 from barvault.schemas import Col
 from barvault.session import fresh_folder
 from barvault.sources import catalog, landing
@@ -232,17 +232,25 @@ def j4(spark, sf_dir):
     return views.tracked_indexes(tracking, tables.stocks, tables.markets)
 
 
-@register("c1_load_lists")
-def c1(spark, sf_dir):
-    """The whole list load, stored in a new warehouse; the answer is what the stored stocks view holds."""
-    from barvault.plans import load_lists
-
-    archive = new_warehouse(spark)
+def stored_lists(spark, sf_dir) -> str:
+    """A new warehouse with the whole list load stored in it."""
+    database = new_warehouse(spark).database
     tables = load_lists.load_lists(
         list_pairs(spark, sf_dir), list_exchanges(spark, sf_dir), list_equities(spark, sf_dir)
     )
-    load_lists.store_lists(spark, archive.database, tables, strict=False)
-    return spark.table(f"{archive.database}.stocks_explained")
+    load_lists.store_lists(spark, database, tables, strict=False)
+    return database
+
+
+@register("c1_load_lists")
+def c1(spark, sf_dir):
+    return spark.table(f"{stored_lists(spark, sf_dir)}.stocks_explained")
+
+
+@register("s17_table_rows")
+def s17(spark, sf_dir):
+    """The catalogue of a loaded warehouse with the rows of each table."""
+    return catalog.table_rows(spark, stored_lists(spark, sf_dir))
 
 
 # --- search ------------------------------------------------------------------------------------------------------

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barvault import schemas
 
@@ -94,6 +97,15 @@ def list_tables(spark: SparkSession, database: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_schema string, table_name string")
 
 
+def table_rows(spark: SparkSession, database: str) -> DataFrame:
+    """Every stored table with its row count, counted in one job."""
+    counts = [
+        spark.table(f"{database}.{t.table_name}").agg(F.lit(t.table_name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
+        for t in list_tables(spark, database).collect()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def list_views(spark: SparkSession, database: str) -> DataFrame:
     rows = [(database, t.name) for t in spark.catalog.listTables(database) if t.tableType == "VIEW" and not t.isTemporary]
     return spark.createDataFrame(rows, "table_schema string, table_name string")

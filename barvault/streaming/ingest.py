@@ -28,13 +28,13 @@ def ingest_pages(
     """Append new candles of registered series, each once.
 
     Copies within ``lateness`` are dropped by the stream's state, older ones by the archive itself. Watermarks need
-    the zoned type, so the time is carried as TIMESTAMP inside the stream (the session zone must be UTC).
+    the zoned type, so a zoned copy of the time drives the watermark; copies are told by the time itself.
     """
     rows = page_candles(pages).select(*SERIES, "datetime", "open", "close", "high", "low", "volume")
     deduplicated = (
         rows.withColumn("_event", F.col("datetime").cast("timestamp"))
         .withWatermark("_event", lateness)
-        .dropDuplicatesWithinWatermark([*SERIES, "_event"])
+        .dropDuplicatesWithinWatermark([*SERIES, "datetime"])
         .drop("_event")
     )
 
