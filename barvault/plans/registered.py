@@ -28,7 +28,7 @@ from barvault.operators import (
 )
 from barvault.plans import adapters, load_lists, series_updates
 from barvault.schemas import Col
-from barvault.session import fresh_folder
+from barvault.session import fresh_folder, materialise
 from barvault.sources import catalog, landing
 from barvault.sources.archive import CandleArchive
 from barvault.streaming import ingest
@@ -463,9 +463,14 @@ def p1(spark, sf_dir, interval):
     return views.candle_view(adapters.candles(spark, sf_dir, interval))
 
 
+def archived(spark, sf_dir, interval) -> DataFrame:
+    """The candles as a stored table, for operators that read them more than once."""
+    return materialise(adapters.candles(spark, sf_dir, interval))
+
+
 def latest_before(spark, sf_dir, count: int = 10) -> DataFrame:
     """The flagship: the latest day candles up to a date, per series, with their direction."""
-    day = adapters.candles(spark, sf_dir, "1day")
+    day = archived(spark, sf_dir, "1day")
     asked = t(spark, sf_dir, "events").select(F.col("event_type").alias("series_key")).distinct()
     asked = asked.select(
         F.xxhash64("series_key").alias("req_id"),
@@ -518,7 +523,7 @@ def p10_batch(spark, sf_dir):
     asked = asked.select(
         "req_id", "series_key", F.col("c_nationkey").alias("low"), (F.col("c_nationkey") * 2).alias("high")
     )
-    return ranges.fetch_positions(asked, adapters.candles(spark, sf_dir, "1min"), "low", "high").select(
+    return ranges.fetch_positions(asked, archived(spark, sf_dir, "1min"), "low", "high").select(
         "req_id", "series_key", "ID", "datetime", "close"
     )
 
@@ -527,7 +532,7 @@ def p10_batch(spark, sf_dir):
 @register("p11_range_fetch_1min", "1min", "ID")
 def p11(spark, sf_dir, interval, position):
     found = ranges.fetch_by_dates(
-        adapters.requests(spark, sf_dir), adapters.candles(spark, sf_dir, interval), interval, position
+        adapters.requests(spark, sf_dir), archived(spark, sf_dir, interval), interval, position
     )
     return found.select("req_id", "series_key", "ID", "datetime", "open", "close", "high", "low")
 
@@ -542,7 +547,7 @@ def p11_single(spark, sf_dir, **dates):
 
 @register("c4_id_bracket", "1day")
 def c4(spark, sf_dir, interval):
-    return ranges.id_bracket(adapters.requests(spark, sf_dir), adapters.candles(spark, sf_dir, interval), interval)
+    return ranges.id_bracket(adapters.requests(spark, sf_dir), archived(spark, sf_dir, interval), interval)
 
 
 @register("j11_nearest_before", "<=")
@@ -550,7 +555,7 @@ def c4(spark, sf_dir, interval):
 def j11(spark, sf_dir, operation):
     return asof.nearest(
         adapters.probes(spark, sf_dir),
-        adapters.candles(spark, sf_dir, "1min"),
+        archived(spark, sf_dir, "1min"),
         operation,
         at="at",
         out="nearest_id",
