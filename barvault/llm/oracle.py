@@ -31,6 +31,42 @@ FROM keyed k LEFT JOIN often o ON k.key = o.key
 GROUP BY doc_id
 """
 
+OP6 = r"""
+WITH doc_words AS (
+    SELECT doc_id, i AS pos, ws[i] AS word
+    FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+         unnest(range(1, len(ws) + 1)) AS u(i)
+),
+item_lists AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+),
+item_windows AS (
+    SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS phrase
+    FROM item_lists, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS u(i)
+    WHERE len(ws) > 0
+),
+lengths AS (SELECT DISTINCT n FROM item_windows),
+doc_lists AS (SELECT doc_id, list(word ORDER BY pos) AS ws FROM doc_words GROUP BY doc_id),
+hits AS (
+    SELECT d.doc_id, d.i, w.n, w.item_id
+    FROM (
+        SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS phrase
+        FROM doc_lists, lengths, unnest(range(1, len(ws) - n + 2)) AS u(i)
+    ) d JOIN item_windows w ON d.n = w.n AND d.phrase = w.phrase
+),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) AS u(p) GROUP BY doc_id),
+items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS listed
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits WHERE item_id IS NOT NULL)
+    GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(ws), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM documents LEFT JOIN doc_lists USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 OP9 = """
 WITH vectors AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS units
@@ -50,4 +86,4 @@ FROM scored
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLE: dict[str, str] = {"op4_sharding": OP4, "op5_line_dedup": OP5, "op9_topk": OP9}
+ORACLE: dict[str, str] = {"op4_sharding": OP4, "op5_line_dedup": OP5, "op6_decontamination": OP6, "op9_topk": OP9}

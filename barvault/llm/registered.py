@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barvault.llm import line_dedup, mixing, sharding, simhash, topk
+from barvault.llm import decontaminate, licenses, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
 from barvault.llm.support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("content"))
@@ -30,21 +35,53 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that it shares with benchmark items."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.concat_ws(",", "items").cast("binary")
+    return found.select(
+        F.col("key").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.select(F.col("key").alias("doc_id"), "size", "source", "source_size", "target", "taken")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_known", F.concat_ws(",", "licenses").alias("licenses"), F.size("matches").alias("n_matches")
+    )
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors by inner product for every fiftieth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document, and whether it is selected."""
+    chosen = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return chosen.select(F.col("key").alias("doc_id"), "log_weight", "perturbed", "selected")
+
+
 REGISTERED: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op4_sharding": op4_sharding,
     "op5_line_dedup": op5_line_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
+    "op8_licenses": op8_licenses,
     "op9_topk": op9_topk,
+    "op10_quality": op10_quality,
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barvault.llm.components import connected_components
+from barvault.llm.rolling import pieces
 from barvault.llm.support import small_batches
 from barvault.operators.joins import join_unique
 from barvault.session import materialise
@@ -20,31 +20,17 @@ SHINGLE = 3
 DISTANCE = 2
 BITS = 64
 SEED = 42
-PIECE = 1 << 20
 
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 # the bits of each byte value, lowest first
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def _pieces(data: bytes):
-    """The text cut at white space into pieces of about a megabyte."""
-    at = 0
-    while at < len(data):
-        end = min(at + PIECE, len(data))
-        if end < len(data):
-            space = _SPACE.search(data, end)
-            end = space.start() if space else len(data)
-        yield data[at:end]
-        at = end
-
-
 def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
     """The signed 64-bit SimHash of a UTF-8 text: bit by bit, the majority over the hashes of its word shingles."""
     ones, total, carry = np.zeros((8, 256), np.int64), 0, []
     digest = xxhash.xxh64_intdigest
     short: list[bytes] = []
-    for piece in _pieces(data or b""):
+    for piece in pieces(data or b""):
         words = carry + piece.lower().split()
         runs = zip(*(words[i:] for i in range(shingle)), strict=False)
         hashes = np.array([digest(b" ".join(run), SEED) for run in runs], dtype="<u8")
