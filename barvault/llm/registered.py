@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barvault.llm import decontaminate, licenses, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
+from barvault.llm import decontaminate, licenses, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, topk, toxicity
 from barvault.llm.support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 200 bytes that occur twice."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("starts").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("content"))
@@ -77,6 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTERED: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_sharding": op4_sharding,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,

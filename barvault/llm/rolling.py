@@ -69,6 +69,21 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * _table(BASE, len(sums))[start])
 
 
+def window_hash(sums: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all substrings of ``size`` bytes, by their start."""
+    return mix((sums[size:] - sums[:-size]) * _table(BASE, len(sums))[: len(sums) - size])
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` values in a row, by doubling the width reached so far."""
+    reached, least = 1, values
+    while reached < width:
+        step = min(reached, width - reached)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        reached += step
+    return least
+
+
 def tokens(data: np.ndarray, marks: bool) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every run of letters, digits and bytes beyond ASCII, and, with ``marks``, of other signs."""
     kind = _KIND[data]
