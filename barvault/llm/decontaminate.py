@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,17 +150,19 @@ def contamination(
     item_text: str = "text",
     span: int = SPAN,
     gram: int = GRAM,
+    identity: Sequence[str] = (),
 ) -> DataFrame:
     """(row_id, key, n_words, n_hit, items) per row of ``docs``; ``items`` are the ids, as strings, in code point order.
 
     A word is hit if it lies in a run of ``span`` words that some item has too, or in a whole item of fewer words.
     Items without words, and documents without any, hit nothing. A null text has no words; an item with a null id hits
     words but is not listed; repeated ids count once. Repeated rows come back as often as they are there; an empty
-    benchmark hits nothing and an empty table gives an empty result. Spans are limited to 63 words.
+    benchmark hits nothing and an empty table gives an empty result. ``row_id`` stands for the columns of ``identity``,
+    or for key and text. Spans are limited to 63 words.
     """
     if not 1 <= gram <= span <= 63:
         raise ValueError("1 <= gram <= span <= 63 is needed")
-    rows = docs.select(row_key(key, text).alias("row_id"), F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
+    rows = docs.select(row_key(*(identity or (key, text))).alias("row_id"), F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
     items = benchmark.select(F.col(item_key).cast("string").alias("item_id"), words_of(F.col(item_text)).alias("words"))
     items = items.withColumn("n", F.size("words")).where("n > 0")
     counted, hits, phrases = span_hits(rows, items, span, gram, "row_id", "words")

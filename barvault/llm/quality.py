@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -98,6 +98,7 @@ def resample(
     most_targets: int = TARGET_ROWS,
     seed: int = SEED,
     margin: float = MARGIN,
+    identity: Sequence[str] = (),
 ) -> DataFrame:
     """(row_id, key, log_weight, perturbed, selected) per row of ``docs``.
 
@@ -105,7 +106,8 @@ def resample(
     documents. Gumbel noise from a seeded hash of key and text is added to the log weight, and the k largest sums
     are selected: sampling without replacement in proportion to the weights. k is the number of documents that the
     raw model does not make over e**margin times likelier than the target model. Ranks come from a distributed sort; ties go by key.
-    Null and empty texts weigh as 1 does (0 in logs). Repeated rows share weight and noise. Without labels all weights
+    ``row_id`` stands for the columns of
+    ``identity``, or for key and text. Null and empty texts weigh as 1 does (0 in logs). Repeated rows share weight and noise. Without labels all weights
     are equal and all rows are selected; an empty table gives an empty result.
     """
     ids = target_rows(labels, key, label, seed, most_targets)
@@ -118,7 +120,7 @@ def resample(
     noise = -F.log(-F.log(uniform(seed, key, text)))
     scored = materialise(
         docs.select(
-            row_key(key, text).alias("row_id"),
+            row_key(*(identity or (key, text))).alias("row_id"),
             F.col(key).alias("key"),
             importance(F.col(text), ratios).alias("log_weight"),
             noise.alias("noise"),

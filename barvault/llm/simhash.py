@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barvault.llm.components import connected_components
 from barvault.llm.rolling import pieces
-from barvault.llm.support import small_batches
+from barvault.llm.support import row_key, small_batches
 from barvault.operators.joins import join_unique
 from barvault.session import materialise
 
@@ -94,22 +95,32 @@ def linking_pairs(fingerprints: DataFrame, distance: int = DISTANCE, column: str
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    distance: int = DISTANCE,
+    identity: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, fingerprint, component_id) per row: the least key reachable over links of near fingerprints.
+    """(row_id, key, fingerprint, group, component_id) per row of ``docs``.
 
-    Texts without words, null ones included, have fingerprint zero and link like any other. A null key belongs to its
+    A group holds all rows that links between near fingerprints connect; ``component_id`` is its least key. Texts
+    without words, null ones included, have fingerprint zero and link like any other. A null key belongs to its
     group but never names it; a group of null keys only has a null component_id. Repeated rows come back as often as
-    they are there; an empty table gives an empty result.
+    they are there; an empty table gives an empty result. ``row_id`` stands for the columns of ``identity``, or for key
+    and text.
     """
-    rows = materialise(with_fingerprint(docs.select(F.col(key).alias(key), F.col(text).alias("_text")), "_text", shingle).drop("_text"))
+    own = docs.select(
+        row_key(*(identity or (key, text))).alias("row_id"), F.col(key).alias(key), F.col(text).alias("_text")
+    )
+    rows = materialise(with_fingerprint(own, "_text", shingle).drop("_text"))
     least = materialise(rows.groupBy("fingerprint").agg(F.min(key).alias("least")))
-    roots = connected_components(linking_pairs(least, distance))
-    rooted = least.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
+    roots = connected_components(linking_pairs(least, distance)).withColumnRenamed("node", "fingerprint")
+    rooted = least.join(roots, "fingerprint", "left").select(
+        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("group")
     )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = join_unique(rooted.select("fingerprint", "root"), named, ["root"]).select("fingerprint", "component_id")
+    named = rooted.groupBy("group").agg(F.min("least").alias("component_id"))
+    groups = join_unique(rooted.drop("least"), named, ["group"])
     return join_unique(rows, groups, ["fingerprint"]).select(
-        key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+        "row_id", key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "group", "component_id"
     )
