@@ -87,7 +87,7 @@ SEQUENCES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Unlicense", ("unlicense-free",)),
 )
 
-SENTENCE_END = r"([.!?:;])\s+"
+SENTENCE_END = r"([.!?:;])[\t\n\x0B\f\r ]+"
 NOT_LETTERS = "[^a-z0-9]+"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barvault.llm import sharding
+from barvault.llm import licenses, sharding
 
 _SHARDS = ",".join(map(str, sharding.fill(sharding.shard_names())))
 
@@ -67,6 +67,42 @@ SELECT doc_id, coalesce(len(ws), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coa
 FROM documents LEFT JOIN doc_lists USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_KNOWN = ", ".join(f"('{text}', '{name}')" for text, name in sorted(licenses.known_sentences().items()))
+_RULES = ", ".join(f"('{licence}', {list(ids)})" for licence, ids in licenses.rules())
+
+OP8 = rf"""
+WITH known(sentence, sentence_id) AS (VALUES {_KNOWN}),
+rules(licence, ids) AS (VALUES {_RULES}),
+cut AS (
+    SELECT doc_id, string_split(regexp_replace(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '([.!?:;])[\t\n\x0B\f\r ]+', '\1' || chr(10), 'g'), chr(10)) AS parts
+    FROM documents
+),
+normal AS (
+    SELECT doc_id, pos, trim(regexp_replace(parts[pos], '[^a-z0-9]+', ' ', 'g')) AS sentence
+    FROM cut, unnest(range(1, len(parts) + 1)) AS u(pos)
+),
+found AS (
+    SELECT doc_id, list(sentence_id ORDER BY pos) AS ids, list(pos ORDER BY pos) AS places
+    FROM normal JOIN known USING (sentence) GROUP BY doc_id
+),
+matches AS (
+    SELECT doc_id, i, licence
+    FROM (SELECT doc_id, ids, places, unnest(range(1, len(ids) + 1)) AS i FROM found) f, rules r
+    WHERE f.ids[i:i + len(r.ids) - 1] = r.ids
+      AND places[i + len(r.ids) - 1] - places[i] <= (len(r.ids) - 1) * ({licenses.GAP} + 1)
+    QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY len(r.ids) DESC, licence, r.ids) = 1
+),
+listed AS (
+    SELECT doc_id, CAST(count(*) AS INTEGER) AS n_matches, array_to_string(list_sort(list(DISTINCT licence)), ',') AS licenses
+    FROM matches GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(len(ids), 0) AS INTEGER) AS n_known, coalesce(licenses, '') AS licenses,
+       coalesce(n_matches, 0) AS n_matches
+FROM documents LEFT JOIN found USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
 OP9 = """
 WITH vectors AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS units
@@ -86,4 +122,10 @@ FROM scored
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLE: dict[str, str] = {"op4_sharding": OP4, "op5_line_dedup": OP5, "op6_decontamination": OP6, "op9_topk": OP9}
+ORACLE: dict[str, str] = {
+    "op4_sharding": OP4,
+    "op5_line_dedup": OP5,
+    "op6_decontamination": OP6,
+    "op8_licenses": OP8,
+    "op9_topk": OP9,
+}

@@ -19,6 +19,8 @@ BUCKETS = 1 << 14  # one half for words, one for pairs of words
 TARGET_ROWS = 50_000
 SEED = 29
 MARGIN = 5.0
+PRIOR = 16.0
+WORDS = 50
 
 def features(data: bytes | None, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
     """Bucket numbers of the words, runs of other signs, and pairs of neighbours in a UTF-8 text, piece by piece.
@@ -56,28 +58,41 @@ def count_features(docs: DataFrame, text: Column, is_target: Column, buckets: in
     return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log target share - log raw share of each bucket, with one added to every count.
+def log_ratios(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> np.ndarray:
+    """log target share - log raw share of each bucket.
 
-    The table has at most ``buckets`` rows, whatever the input's size. Without a target all ratios are 0.
+    The target model starts from ``prior`` counts a bucket dealt out like the raw ones, so that a small target does not
+    make what it has not seen impossible. The table has at most ``buckets`` rows, whatever the input's size. Without a
+    target all ratios are 0.
     """
-    raw, target = np.ones(buckets), np.ones(buckets)
+    raw, target = np.ones(buckets), np.zeros(buckets)
     for row in counts.collect():
         raw[row["bucket"]] += row["raw"]
         target[row["bucket"]] += row["target"]
-    if target.sum() == buckets:
+    raw /= raw.sum()
+    if not target.sum():
         return np.zeros(buckets)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    target += 1 + prior * buckets * raw
+    return np.log(target / target.sum()) - np.log(raw)
 
 
-def importance(text: Column, ratios: np.ndarray) -> Column:
-    """Log importance weight of a text: how much likelier the target model makes it than the raw one."""
+def importance(text: Column, ratios: np.ndarray, words: int = WORDS) -> Column:
+    """Log importance weight of a text: how much likelier the target model makes it than the raw one.
+
+    A longer text weighs like ``words`` words of its kind, or length would decide over kind.
+    """
     buckets = len(ratios)
 
+    def weight(data: bytes | None) -> float:
+        total, n = 0.0, 0
+        for found in features(data, buckets):
+            total, n = total + float(ratios[found].sum()), n + len(found)
+        return total * min(1.0, 2 * words / max(n, 1))
+
     @F.pandas_udf("double")
     def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([float(sum(ratios[found].sum() for found in features(data, buckets))) for data in batch])
+            yield pd.Series([weight(data) for data in batch], dtype="float64")
 
     return weigh(text.cast("binary"))
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barvault.llm.support import free_name
+
 SHARDS = 64
 TABLE_SIZE = 65_537  # prime, about a thousand slots a shard: shares differ by under one percent
 
@@ -79,11 +81,10 @@ def assign_shards(
     null key are spread by ``fallback``; an empty table gives an empty one. A column named ``out`` is replaced.
     """
     rest = [c for c in df.columns if c != out]
-    slots = lookup_table(df.sparkSession, shard_names(shards), size).select(
-        F.col("slot").alias("_shard_slot"), F.col("shard").alias("_shard_owner")
-    )
+    slot, owner = free_name(df, "slot"), free_name(df, "owner")
+    slots = lookup_table(df.sparkSession, shard_names(shards), size).toDF(slot, owner)
     return (
-        df.withColumn("_shard_slot", slot_of(key, fallback, size))
-        .join(F.broadcast(slots), "_shard_slot", "left")
-        .select(*[F.col(f"`{c}`") for c in rest], F.col("_shard_owner").alias(out))
+        df.withColumn(slot, slot_of(key, fallback, size))
+        .join(F.broadcast(slots), slot, "left")
+        .select(*[F.col(f"`{c}`") for c in rest], F.col(owner).alias(out))
     )

@@ -68,6 +68,14 @@ def numbered(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFram
     )
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
     """Hand texts to Python in small batches, so that a worker's memory does not depend on their length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barvault.llm import decontaminate, mixing, quality, sharding, simhash
-from barvault.llm.support import row_key, table
+from barvault.llm.support import free_name, row_key, table
 from barvault.session import materialise
 
 KEY, TEXT, SOURCE = "doc_id", "text", "source"
@@ -22,16 +22,9 @@ KEY, TEXT, SOURCE = "doc_id", "text", "source"
 ORACLE_SQL = None
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have."""
-    while name.lower() in (c.lower() for c in docs.columns):
-        name = "_" + name
-    return name
-
-
 def _apply(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """``docs`` after decisions (row_id, rows, copies): of ``rows`` equal rows, ``copies`` go on."""
-    own, base, fold = _free(docs, "row_id"), _free(docs, "copies"), _free(docs, "fold")
+    own, base, fold = free_name(docs, "row_id"), free_name(docs, "copies"), free_name(docs, "fold")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     decided = materialise(decisions.where("copies > 0").select(F.col("row_id").alias(own), "rows", F.col("copies").alias(base)))
     each = decided.select(own, F.floor(F.col(base) / F.col("rows")).cast("int").alias(base)).where(F.col(base) > 0)
