@@ -17,10 +17,10 @@ from barvault.session import materialise
 TRAIN_ROWS = 20_000
 CANDIDATES = 50_000
 FEATURES = 2_000
-LEAST_POSITIVES = 5
-LEAST_Z = 3.0
+LEAST_POSITIVES = 3
+LEAST_Z = 2.5
 STEMS = (5, 6, 7, 8)
-RIDGE = 0.1
+RIDGE = 0.02
 COUNTERFACTUAL = 10.0
 SEED = 11
 THRESHOLD = 0.7
