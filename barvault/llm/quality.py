@@ -113,6 +113,7 @@ def resample(
     most_targets: int = TARGET_ROWS,
     seed: int = SEED,
     margin: float = MARGIN,
+    prior: float = PRIOR,
     identity: Sequence[str] = (),
 ) -> DataFrame:
     """(row_id, key, log_weight, perturbed, selected) per row of ``docs``.
@@ -130,7 +131,7 @@ def resample(
     flagged = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(
         F.broadcast(ids), F.col("_key") == F.col("_target"), "left"
     )
-    ratios = log_ratios(count_features(flagged, F.col("_text"), F.col("_target").isNotNull(), buckets), buckets)
+    ratios = log_ratios(count_features(flagged, F.col("_text"), F.col("_target").isNotNull(), buckets), buckets, prior)
     small_batches(docs.sparkSession)
     noise = -F.log(-F.log(uniform(seed, key, text)))
     scored = materialise(
