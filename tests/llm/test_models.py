@@ -65,12 +65,12 @@ def test_the_k_largest_perturbed_weights_are_selected(spark):
     rows = [(i, t + " junk !!" * (40 if i % 5 == 0 else 0)) for i, t in enumerate(random_texts(3, 200, 60))]
     marked = labels(spark, [(i, int(i % 5 != 0), 0) for i in range(0, 200, 2)])
     docs = documents(spark, rows)
-    found = quality.resample(docs, marked, prior=0.1).toPandas().sort_values("perturbed", ascending=False)
+    found = quality.resample(docs, marked, buckets=256, prior=1.0).toPandas().sort_values("perturbed", ascending=False)
     k = int((found["log_weight"] >= -quality.MARGIN).sum())
     assert found["selected"].tolist() == [True] * k + [False] * (200 - k)
     junk = found["key"] % 5 == 0
     assert not found[junk]["selected"].any() and found[~junk]["selected"].mean() > 0.95
-    again = quality.resample(docs.repartition(5), marked, prior=0.1).toPandas().sort_values("perturbed", ascending=False)
+    again = quality.resample(docs.repartition(5), marked, buckets=256, prior=1.0).toPandas().sort_values("perturbed", ascending=False)
     assert again["key"].tolist() == found["key"].tolist()
 
 
