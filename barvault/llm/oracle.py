@@ -12,6 +12,36 @@ SELECT doc_id, string_split('{_SHARDS}', ',')[
 FROM documents
 """
 
+OP3 = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, h, len(h) // 2 AS n FROM bytes),
+pieces AS (
+    SELECT doc_id, n, b, substr(h, 2 * b + 1, 638) AS piece FROM (SELECT *, unnest(range(0, n - 199, 120)) AS b FROM sized)
+),
+starts AS (
+    SELECT doc_id, b + p AS p, hash(substr(piece, 2 * p + 1, 400)) AS s
+    FROM (SELECT *, unnest(range(0, least(120, n - 199 - b))) AS p FROM pieces)
+),
+again AS (SELECT doc_id, p FROM starts WHERE s IN (SELECT s FROM starts GROUP BY s HAVING count(*) > 1)),
+edges AS (SELECT doc_id, p, p > coalesce(lag(p) OVER w + 200, -1) AS fresh FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (
+    SELECT doc_id, min(p) AS a, max(p) + 200 AS b
+    FROM (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM edges) GROUP BY doc_id, run
+),
+totals AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id),
+gaps AS (
+    SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+    UNION ALL
+    SELECT s.doc_id, coalesce(max(b), 0), any_value(n) FROM sized s LEFT JOIN runs r USING (doc_id) GROUP BY s.doc_id
+),
+kept AS (
+    SELECT doc_id, sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a))) AS kept_sha256
+    FROM gaps JOIN sized USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM sized LEFT JOIN totals USING (doc_id) JOIN kept USING (doc_id)
+"""
+
 OP5 = r"""
 WITH lines AS (
     SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line
@@ -123,6 +153,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 """
 
 ORACLE: dict[str, str] = {
+    "op3_suffix_dedup": OP3,
     "op4_sharding": OP4,
     "op5_line_dedup": OP5,
     "op6_decontamination": OP6,
