@@ -92,7 +92,10 @@ def drop_bitmaps(
     min_length: int = MIN_LENGTH,
     keep_first: bool = False,
 ) -> DataFrame:
-    """(row_id, bitmap) for documents that lose lines: sorted (word, bits) pairs of 64 lines, words without a bit left out.
+    """(row_id, bitmap) for documents that lose lines: the keep bitmap of each, compressed to the lines that go.
+
+    A bitmap is a sorted list of (word, bits), 64 lines to a word; a set bit is a line that goes, and words without any
+    are left out. Documents that keep all lines have no row.
 
     A line found in ``min_docs`` rows is lost everywhere, or, with ``keep_first``, all but its first occurrence by key
     and position. Every row is a document, also a repeated one. Empty lines stay while ``min_length`` is 1.
