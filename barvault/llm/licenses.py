@@ -188,6 +188,6 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", gap:
     return join_unique(rows, matched, ["row_id"]).select(
         key,
         F.coalesce("n_known", F.lit(0)).alias("n_known"),
-        F.array_sort(F.array_distinct(F.coalesce(F.transform("matches", lambda m: m["licence"]), F.array().cast("array<string>")))).alias("licenses"),
+        F.array_sort(F.array_distinct(F.transform(F.coalesce("matches", none), lambda m: m["licence"]))).alias("licenses"),
         F.coalesce("matches", none).alias("matches"),
     )

@@ -126,8 +126,8 @@ def mix_sources(
     need at least n * n / 2 words. Which documents of a length are taken once more is decided by a seeded hash of key
     and text: all rows are numbered by a distributed sort that also splits equal rows, so that a length, or one row
     repeated, with a third of all rows is not one task's. Equal rows are interchangeable: reruns agree. A null source
-    is a source; null and empty texts have size 0 and give 0 words. An empty table gives an empty result. ``row_id`` stands for the columns of
-    ``identity``, or for key and text.
+    is a source; null and empty texts have size 0 and give 0 words. An empty table gives an empty result. ``row_id``
+    stands for the columns of ``identity``, or for key and text.
     """
     rows = materialise(
         docs.select(

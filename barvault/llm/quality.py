@@ -120,11 +120,11 @@ def resample(
 
     The target model counts the documents labelled 1, at most ``most_targets`` of them; the raw model counts all
     documents. Gumbel noise from a seeded hash of key and text is added to the log weight, and the k largest sums
-    are selected: sampling without replacement in proportion to the weights. k is the number of documents that the
-    raw model does not make over e**margin times likelier than the target model. Ranks come from a distributed sort; ties go by key.
-    ``row_id`` stands for the columns of
-    ``identity``, or for key and text. Null and empty texts weigh as 1 does (0 in logs). Repeated rows share weight and noise. Without labels all weights
-    are equal and all rows are selected; an empty table gives an empty result.
+    are selected: sampling without replacement in proportion to the weights. k is the number of documents that the raw
+    model does not make over e**margin times likelier than the target model. Ranks come from a distributed sort; ties
+    go by key. ``row_id`` stands for the columns of ``identity``, or for key and text. Null and empty texts weigh as 1
+    does (0 in logs). Repeated rows share weight and noise. Without labels all weights are equal and all rows are
+    selected; an empty table gives an empty result.
     """
     ids = target_rows(labels, key, label, seed, most_targets)
     # at most most_targets keys of eight bytes

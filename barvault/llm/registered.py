@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barvault.llm import decontaminate, licenses, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, topk, toxicity
+from barvault.llm import (
+    decontaminate,
+    licenses,
+    line_dedup,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    suffix_dedup,
+    topk,
+    toxicity,
+)
 from barvault.llm.support import table
 
 Query = Callable[[SparkSession, str], DataFrame]

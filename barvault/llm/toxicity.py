@@ -154,7 +154,9 @@ def _telling(train: DataFrame, candidates: np.ndarray, limit: int) -> np.ndarray
             for data, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 counts[int(toxic), chosen.members(_distinct(data))] += 1
                 rows[int(toxic)] += 1
-        yield pd.DataFrame({"feature": np.arange(-1, len(candidates)), "bad": np.r_[rows[1], counts[1]], "good": np.r_[rows[0], counts[0]]})
+        # feature -1 counts the rows
+        good, bad = (np.append(rows[toxic], counts[toxic]) for toxic in (0, 1))
+        yield pd.DataFrame({"feature": np.arange(-1, len(candidates)), "bad": bad, "good": good})
 
     found = train.mapInPandas(count, "feature int, bad bigint, good bigint").groupBy("feature").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good")

@@ -1,4 +1,4 @@
-"""A corpus from raw documents: good ones only, one of each near-duplicate group, without benchmark text, mixed, sharded.
+"""A corpus from raw documents: good ones, one of each near-duplicate group, without benchmark text, mixed, sharded.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's ``docs``. All but the last return the columns of ``docs``.
@@ -26,7 +26,8 @@ def _apply(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """``docs`` after decisions (row_id, rows, copies): of ``rows`` equal rows, ``copies`` go on."""
     own, base, fold = free_name(docs, "row_id"), free_name(docs, "copies"), free_name(docs, "fold")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    decided = materialise(decisions.where("copies > 0").select(F.col("row_id").alias(own), "rows", F.col("copies").alias(base)))
+    decided = decisions.where("copies > 0").select(F.col("row_id").alias(own), "rows", F.col("copies").alias(base))
+    decided = materialise(decided)
     each = decided.select(own, F.floor(F.col(base) / F.col("rows")).cast("int").alias(base)).where(F.col(base) > 0)
     marked = docs.withColumn(own, row_key(*docs.columns))
     kept = marked.join(each, own).select(*columns, F.explode(F.array_repeat(F.lit(0), F.col(base))).alias(base))
@@ -44,7 +45,8 @@ def _apply(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier selects."""
     chosen = quality.resample(docs, table(spark, sf_dir, "labels"), KEY, TEXT, identity=docs.columns)
-    return _apply(docs, chosen.groupBy("row_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("selected").alias("copies")))
+    counts = chosen.groupBy("row_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("selected").alias("copies"))
+    return _apply(docs, counts)
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
