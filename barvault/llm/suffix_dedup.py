@@ -30,7 +30,7 @@ from barvault.operators.joins import join_unique
 from barvault.session import materialise
 
 LENGTH = 200
-WINDOW = 96
+WINDOW = 120
 WIDE = 1_000
 CHUNK = 300_000  # suffixes sorted at once
 PIECE = 1 << 22
