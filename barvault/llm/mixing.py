@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barvault.llm.support import numbered, row_key, uniform
+from barvault.llm.support import numbered, row_key, ship_package, uniform
 from barvault.operators.joins import join_unique
 from barvault.session import materialise
 
@@ -129,6 +129,7 @@ def mix_sources(
     is a source; null and empty texts have size 0 and give 0 words. An empty table gives an empty result. ``row_id``
     stands for the columns of ``identity``, or for key and text.
     """
+    ship_package(docs.sparkSession)
     rows = materialise(
         docs.select(
             row_key(*(identity or (key, text))).alias("row_id"),

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,8 +80,28 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+@cache
+def _package_archive(root: str) -> str:
+    """A zip file of this package; Spark copies it from the driver to every executor."""
+    return shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="barvault-"), "barvault"), "zip", root, "barvault")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where the driver found it by ``sys.path`` alone.
+
+    Workers look into their working folder and PYTHONPATH only. A job submitted with the package needs nothing more.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    searched = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if not os.path.isdir(root) or root in map(os.path.abspath, searched):
+        return
+    if not any(name.endswith("barvault.zip") for name in spark.sparkContext.listFiles):
+        spark.sparkContext.addPyFile(_package_archive(root))
+
+
 def small_batches(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
     """Hand texts to Python in small batches, so that a worker's memory does not depend on their length."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
