@@ -71,7 +71,7 @@ def _length_classes(items: DataFrame, span: int, gram: int) -> list[tuple[int, i
 
 
 def span_hits(
-    docs: DataFrame, items: DataFrame, span: int, gram: int, row_id: str, words: str
+    docs: DataFrame, items: DataFrame, span: int, gram: int, row_id: str = "row_id"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: documents with word counts (row_id, key, n_words), windows found (row_id, start, length, phrase),
     and the windows of the items (item_id, length, phrase).
@@ -104,40 +104,38 @@ def span_hits(
 
     found = None
     for length, size in classes:
-        own = docs.select(row_id, F.explode(winnowed(F.col(words), size, length)).alias("mark"))
+        own = docs.select(row_id, F.explode(winnowed(words_of(F.col("text")), size, length)).alias("mark"))
         own = own.select(row_id, F.lit(length).alias("length"), F.lit(length - size).alias("back"), *_located(F.col("mark")))
         found = own if found is None else found.union(own)
     met = found.join(known, ["length", "hash"], "left_semi")
     places = met.groupBy(row_id).agg(F.collect_set(F.struct("length", "back", "at")).alias("places"))
 
-    n = F.col("n_words")
-    # a window as one number, since distinct numbers are found by hashing and distinct structs by comparing all
-    around = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "places",
-                lambda p: F.transform(
-                    F.sequence(F.greatest(p["at"] - p["back"], F.lit(0)), F.least(p["at"], n - p["length"])),
-                    lambda start: start.cast("bigint") * 64 + p["length"],
-                ),
-            )
+    def spans(own: Column) -> Column:
+        # a window as one number, since distinct numbers are found by hashing and distinct structs by comparing all
+        around = F.transform(
+            "places",
+            lambda p: F.transform(
+                F.sequence(F.greatest(p["at"] - p["back"], F.lit(0)), F.least(p["at"], F.size(own) - p["length"])),
+                lambda start: start.cast("bigint") * 64 + p["length"],
+            ),
         )
-    )
-    probed = join_unique(docs.select(row_id, "key", words), places, [row_id]).select(
-        row_id, "key", words, F.size(words).alias("n_words"), "places"
-    )
-    spans = F.transform(
-        around,
-        lambda w: F.struct(
-            F.shiftright(w, 6).cast("int").alias("start"),
-            (w % 64).cast("int").alias("length"),
-            _phrase(F.col(words), F.shiftright(w, 6).cast("int"), (w % 64).cast("int")).alias("phrase"),
-        ),
-    )
-    probed = materialise(probed.select(row_id, "key", "n_words", spans.alias("spans")))
+        return F.transform(
+            F.array_distinct(F.flatten(around)),
+            lambda w: F.struct(
+                F.shiftright(w, 6).cast("int").alias("start"),
+                (w % 64).cast("int").alias("length"),
+                _phrase(own, F.shiftright(w, 6).cast("int"), (w % 64).cast("int")).alias("phrase"),
+            ),
+        )
+
+    # the text goes through the shuffle, not its words, which take several times the room
+    probe = let(words_of(F.col("text")), lambda own: F.struct(F.size(own).alias("n_words"), spans(own).alias("spans")))
+    probed = join_unique(docs.select(row_id, "key", "text"), places, [row_id]).select(row_id, "key", probe.alias("x"))
+    probed = probed.select(row_id, "key", "x.n_words", "x.spans")
+    probed = materialise(probed)
     candidates = probed.select(row_id, F.explode("spans").alias("s")).select(row_id, "s.*")
     texts = phrases.select("phrase", "length").distinct()
-    hits = materialise(candidates.join(texts, ["phrase", "length"], "left_semi"))
+    hits = materialise(join_unique(candidates, texts, ["phrase", "length"], "left_semi"))
     return probed.drop("spans"), hits, phrases
 
 
@@ -162,10 +160,12 @@ def contamination(
     """
     if not 1 <= gram <= span <= 63:
         raise ValueError("1 <= gram <= span <= 63 is needed")
-    rows = docs.select(row_key(*(identity or (key, text))).alias("row_id"), F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
+    rows = docs.select(
+        row_key(*(identity or (key, text))).alias("row_id"), F.col(key).alias("key"), F.col(text).alias("text")
+    )
     items = benchmark.select(F.col(item_key).cast("string").alias("item_id"), words_of(F.col(item_text)).alias("words"))
     items = items.withColumn("n", F.size("words")).where("n > 0")
-    counted, hits, phrases = span_hits(rows, items, span, gram, "row_id", "words")
+    counted, hits, phrases = span_hits(rows, items, span, gram)
     covered = hits.groupBy("row_id").agg(F.collect_set(F.col("start").cast("bigint") * 64 + F.col("length")).alias("w"))
     runs = F.transform("w", lambda w: F.sequence(F.shiftright(w, 6), F.shiftright(w, 6) + w % 64 - 1))
     covered = covered.select("row_id", F.size(F.array_distinct(F.flatten(runs))).alias("n_hit"))
