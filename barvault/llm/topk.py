@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barvault.llm.support import ship_package
+
 K = 5
 SCALE = 256
-BLOCK = 16_384
+BLOCK = 8_192
 QUERY_BLOCK = 2_048
-FIRST_DEPTH = 8
+FIRST_DEPTH = 32
 GROWTH = 4
 LONG = 2**63
 
@@ -63,13 +65,18 @@ def threshold_top(
         fresh = np.arange(n)
         scores, best = _top(_products(rows, query, exact_in_doubles), fresh, ids, k)
     while done < n:
-        fresh = np.unique(
-            np.concatenate([lists[up, n - depth : n - done].ravel(), lists[down, done:depth].ravel()])
-        )
-        fresh = fresh[~met[fresh]]
-        met[fresh] = True
-        found = _products(rows[fresh], query, exact_in_doubles)
+        new = np.zeros(n, bool)
+        new[lists[up, n - depth : n - done].ravel()] = True
+        new[lists[down, done:depth].ravel()] = True
+        new &= ~met
+        met |= new
+        fresh = np.flatnonzero(new)
+        # gathering many rows costs more than multiplying all of them
+        many = exact_in_doubles and 4 * len(fresh) > n
+        found = _products(rows, query, True)[fresh] if many else _products(rows[fresh], query, exact_in_doubles)
         scores, best = _top(np.concatenate([scores, found]), np.concatenate([best, fresh]), ids, k)
+        if met.all():
+            break
         if depth < n and len(best) == k:
             edge = np.zeros(len(query), dtype=rows.dtype if exact_in_doubles else object)
             edge[up], edge[down] = rows[lists[up, n - depth - 1], up], rows[lists[down, depth], down]
@@ -126,21 +133,23 @@ def top_k(
     repeated one; a repeated query row is answered again. A null id is no query and comes last among equal scores.
     Scores beyond a long take the nearest long. Fewer than k candidates give as many rows as there are.
     """
+    ship_package(vectors.sparkSession)
     valid = vectors.select(
         F.col(key).cast("bigint").alias("vec_id"), quantised(F.col(vector), scale).alias("units"), is_query.alias("asks")
     ).where("units IS NOT NULL")
     total = valid.count()
     blocks = max(1, -(-total // block))
-    hashed = valid.withColumn("dim", F.size("units"))
-    deal = F.xxhash64("vec_id", "units")
-    asking = hashed.where("asks").withColumn("query_row", F.monotonically_increasing_id())
+    # rows are dealt by their place in the input too, so that one row repeated very often fills no block
+    hashed = valid.withColumn("dim", F.size("units")).withColumn("place", F.monotonically_increasing_id())
+    deal = F.xxhash64("vec_id", "place")
+    asking = hashed.where("asks").withColumnRenamed("place", "query_row")
     groups = max(1, -(-asking.count() // query_block))
     rows = hashed.select(
         "vec_id", "units", "dim", F.pmod(deal, F.lit(blocks)).alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
     )
     queries = asking.select(
-        "query_row", "vec_id", "units", "dim", F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(groups)).cast("int").alias("group"),
+        "query_row", "vec_id", "units", "dim", F.pmod(F.xxhash64(F.lit(7), "vec_id", "query_row"), F.lit(groups)).cast("int").alias("group"),
         F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"),
     )
     on = ["dim", "block", "group"]
@@ -150,9 +159,12 @@ def top_k(
         out = pd.DataFrame(found, columns=["query_row", "query_id", "vec_id", "score", "own"])
         return out.astype({"query_row": "int64", "query_id": "int64", "vec_id": "Int64", "score": "int64", "own": "int64"})
 
+    # a stated number of partitions: by their few megabytes Spark would put many blocks into one task
+    tasks = 2 * blocks * groups
     found = (
-        queries.groupBy(*on)
-        .cogroup(rows.groupBy(*on))
+        queries.repartition(tasks, *on)
+        .groupBy(*on)
+        .cogroup(rows.repartition(tasks, *on).groupBy(*on))
         .applyInPandas(search, "query_row bigint, query_id bigint, vec_id bigint, score bigint, own bigint")
     )
     order = [F.desc("score"), F.asc_nulls_last("vec_id")]
