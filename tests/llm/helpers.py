@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -67,4 +68,4 @@ def collected(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=lambda r: tuple((v is not None, str(v)) for v in r))
 
 
-needs_tables = pytest.mark.skipif(not __import__("os").path.isdir(SF_DIR), reason="no test tables here")
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
