@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +91,11 @@ SEQUENCES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 SENTENCE_END = r"([.!?:;])[\t\n\x0B\f\r ]+"
-NOT_LETTERS = "[^a-z0-9]+"
+
+# What may stand between words of a known sentence, at stops it has itself, and behind it.
+WITHIN_PIECE = " "
+AT_STOP = "(?: |S\n)"
+END = "(?=S?\n)"
 
 
 def normal_form(sentence: str) -> str:
@@ -97,6 +104,12 @@ def normal_form(sentence: str) -> str:
     return " ".join(words.split())
 
 
+def known_texts() -> list[str]:
+    """The sentences of licence texts and all statements, as they are written."""
+    stated = [statement.format(name) for names in NAMES.values() for name in names for statement in STATEMENTS]
+    return [text.lower() for text in TEXTS.values()] + stated
+
+
 def known_sentences() -> dict[str, str]:
     """Normalised sentence -> identifier. Every statement of a licence has the identifier ``is:`` + licence."""
     known = {normal_form(text): name for name, text in TEXTS.items()}
@@ -112,10 +125,62 @@ def rules() -> list[tuple[str, tuple[str, ...]]]:
     return sorted([*SEQUENCES, *stated], key=lambda rule: (-len(rule[1]), rule))
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text: cut at line breaks and at stops before white space."""
-    marked = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SENTENCE_END, "$1\n")
-    return F.transform(F.split(marked, "\n"), lambda s: F.trim(F.regexp_replace(s, NOT_LETTERS, " ")))
+def lines_of_words(text: Column) -> Column:
+    """The normalised pieces of a text, cut at line breaks and at stops before white space: a line break before each
+    piece and after the last, and an S before those that stand for a stop."""
+    cut = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SENTENCE_END, "$1S\n")
+    words = F.regexp_replace(F.concat(F.lit("\n"), cut, F.lit("\n")), "[^a-z0-9S\n]+", " ")
+    return F.regexp_replace(words, " ?(S?\n) ?", "$1")
+
+
+def sentence_pattern() -> str:
+    """A regular expression for a break and any known sentence up to a break, cut like the pieces of documents.
+
+    The alternatives are a tree of words, so that a piece is given up at its first strange word. A sentence that
+    ends at a break counts there, even where a longer one goes on: see the test of nested sentences.
+    """
+    tree: dict = {}
+    for text in known_texts():
+        node, after = tree, ""
+        for piece in re.sub(SENTENCE_END, r"\1\n", text).split("\n"):
+            for word in normal_form(piece).split(" "):
+                node = node.setdefault((after, word), {})
+                after = WITHIN_PIECE
+            after = AT_STOP
+        node[END] = {}
+
+    def listed(node: dict) -> str:
+        ways = [END] if END in node else []
+        ways += [k[0] + k[1] + listed(node[k]) for k in sorted(k for k in node if k != END)]
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return f"\n({listed(tree)})"
+
+
+def marked_sentences(text: Column) -> Column:
+    """(pos, last, sentence) of each known sentence of a text: the numbers of its first and last piece, and its words.
+    Null without any."""
+
+    def numbers(pieces: Column, test: Callable[[Column], Column]) -> Column:
+        return F.filter(F.transform(pieces, lambda p, i: F.when(test(p), i)), lambda i: i.isNotNull())
+
+    def listed(marked: Column) -> Column:
+        # the first of the split is what stands before the first break
+        pieces = let(F.split(marked, "\n"), lambda p: F.slice(p, 2, F.size(p)))
+        found = F.transform(
+            F.regexp_extract_all(marked, F.lit("<([^>]*)>"), F.lit(1)), lambda s: F.regexp_replace(s, "S?\n+", " ")
+        )
+        return let(
+            pieces,
+            lambda p: F.arrays_zip(
+                numbers(p, lambda piece: piece.startswith("<")).alias("pos"),
+                numbers(p, lambda piece: piece.contains(">")).alias("last"),
+                found.alias("sentence"),
+            ),
+        )
+
+    marked = F.regexp_replace(lines_of_words(text), sentence_pattern(), "\n<$1>")
+    return let(marked, lambda m: F.when(m.contains("<"), listed(m)))
 
 
 def sentence_table(spark: SparkSession) -> DataFrame:
@@ -133,26 +198,34 @@ def _rule_array() -> Column:
 
 
 def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row_id, pos, sentence_id) for every known sentence of a document."""
-    listed = docs.select(row_key(key, text).alias("row_id"), F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
-    return listed.join(F.broadcast(sentence_table(docs.sparkSession)), "sentence").select("row_id", "pos", "sentence_id")
+    """(row_id, pos, last, sentence_id) for every known sentence of a document."""
+    found = docs.select(row_key(key, text).alias("row_id"), F.explode(marked_sentences(F.col(text))).alias("met"))
+    known = F.broadcast(sentence_table(docs.sparkSession))
+    return found.select("row_id", "met.*").join(known, "sentence").select("row_id", "pos", "last", "sentence_id")
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = GAP) -> DataFrame:
     """(key, n_known, licenses, matches) per row of ``docs``.
 
+    A text is cut into pieces at line breaks and at stops before white space; a known sentence is one piece or, where
+    it has stops itself, several that follow each other.
     ``n_known`` counts known sentences, ``licenses`` are the identifiers of all rules met, sorted and distinct, and
-    ``matches`` lists (licence, first, last): the sentence numbers of each rule that is met where its sentences
-    follow each other among the known ones, at most ``gap`` other sentences apart. Where a rule's sentences begin
+    ``matches`` lists (licence, first, last): the piece numbers of each rule that is met where its sentences
+    follow each other among the known ones, at most ``gap`` other pieces apart. Where a rule's sentences begin
     a longer rule's that is met, the longer one counts. A null or empty text has no licences; repeated
     rows come back as often as they are there; an empty table gives an empty result.
     """
     per_doc = (
         identified(docs, key, text)
         .groupBy("row_id")
-        .agg(F.array_sort(F.collect_set(F.struct("pos", "sentence_id"))).alias("found"))
+        .agg(F.array_sort(F.collect_set(F.struct("pos", "last", "sentence_id"))).alias("found"))
     )
 
+    def apart(run: Column) -> Column:
+        """Pieces from the first sentence to the last, each sentence taken as one piece."""
+        inner = F.aggregate(run, F.lit(0), lambda n, x: n + x["last"] - x["pos"])
+        return F.element_at(run, -1)["last"] - F.element_at(run, 1)["pos"] - inner
+
     def at(found: Column, i: Column) -> Column:
         """The rule that matches from the i-th known sentence on: the longest comes first in the list."""
         met = F.filter(
@@ -160,10 +233,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", gap:
             lambda rule: let(
                 F.slice(found, i + 1, F.size(rule["ids"])),
                 lambda run: (F.transform(run, lambda x: x["sentence_id"]) == rule["ids"])
-                & (
-                    F.element_at(run, -1)["pos"] - F.element_at(run, 1)["pos"]
-                    <= (F.size(rule["ids"]) - 1) * (gap + 1)
-                ),
+                & (apart(run) <= (F.size(rule["ids"]) - 1) * (gap + 1)),
             ),
         )
         return let(
@@ -173,7 +243,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", gap:
                 F.struct(
                     rule["licence"].alias("licence"),
                     F.get(found, i)["pos"].alias("first"),
-                    F.get(found, i + F.size(rule["ids"]) - 1)["pos"].alias("last"),
+                    F.get(found, i + F.size(rule["ids"]) - 1)["last"].alias("last"),
                 ),
             ),
         )

@@ -56,3 +56,26 @@ def test_awkward_rows_and_clashing_names(spark):
     got = found(with_clashes(documents(spark, rows)))
     assert len(got) == len(rows) and sum(r[2] == ["MIT"] for r in got) == 3
     assert found(documents(spark, [])) == []
+
+
+def test_every_rule_is_met_by_its_own_punctuated_texts(spark):
+    rows = [(i, text_of(*ids, between="  ")) for i, (_, ids) in enumerate(licenses.SEQUENCES)]
+    expected = [(i, len(ids), [licence], 1) for i, (licence, ids) in enumerate(licenses.SEQUENCES)]
+    assert found(documents(spark, rows)) == expected
+
+
+def test_statements_with_stops_are_known(spark):
+    cases = [(n, f"{s.format(name)}.") for n, names in licenses.NAMES.items() for name in names for s in licenses.STATEMENTS]
+    got = found(documents(spark, [(i, text) for i, (_, text) in enumerate(cases)]))
+    assert sorted(got) == [(i, 1, [n], 1) for i, (n, _) in enumerate(cases)]
+
+
+def test_nested_sentences_name_one_licence():
+    """A shorter known sentence inside a longer one, which may take its place at a break, says no other licence."""
+    known = licenses.known_sentences()
+    of_text = {i: {licence for licence, ids in licenses.SEQUENCES if i in ids} for i in licenses.TEXTS}
+    of_text |= {f"is:{licence}": {licence} for licence in licenses.NAMES}
+    for inner, a in known.items():
+        for outer, b in known.items():
+            if inner != outer and f" {inner} " in f" {outer} ":
+                assert of_text[a] == of_text[b], (inner, outer)
