@@ -92,9 +92,9 @@ SEQUENCES: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 SENTENCE_END = r"([.!?:;])[\t\n\x0B\f\r ]+"
 
-# What may stand between words of a known sentence, at stops it has itself, and behind it.
-WITHIN_PIECE = " "
-AT_STOP = "(?: |S\n)"
+# What may stand between words of a known sentence, at stops it has itself, and behind it. Lines may be wrapped anywhere.
+WITHIN_PIECE = "(?: |\n+)"
+AT_STOP = "(?: |S?\n+)"
 END = "(?=S?\n)"
 
 
@@ -207,8 +207,9 @@ def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = GAP) -> DataFrame:
     """(key, n_known, licenses, matches) per row of ``docs``.
 
-    A text is cut into pieces at line breaks and at stops before white space; a known sentence is one piece or, where
-    it has stops itself, several that follow each other.
+    A text is cut into pieces at line breaks and at stops before white space; a known sentence is one piece or several
+    that follow each other: it may be wrapped at any word, with comment marks and empty lines between, but holds no
+    stops besides its own.
     ``n_known`` counts known sentences, ``licenses`` are the identifiers of all rules met, sorted and distinct, and
     ``matches`` lists (licence, first, last): the piece numbers of each rule that is met where its sentences
     follow each other among the known ones, at most ``gap`` other pieces apart. Where a rule's sentences begin

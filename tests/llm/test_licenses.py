@@ -1,3 +1,6 @@
+import itertools
+import textwrap
+
 import pytest
 
 from barvault.llm import licenses
@@ -79,3 +82,65 @@ def test_nested_sentences_name_one_licence():
         for outer, b in known.items():
             if inner != outer and f" {inner} " in f" {outer} ":
                 assert of_text[a] == of_text[b], (inner, outer)
+
+
+def test_wrapped_texts(spark):
+    """Paragraphs wrapped at a width, in prose and in comment blocks."""
+    rows, expected = [], []
+    for width, mark in itertools.product((20, 44, 72, 80), ("", "# ", " * ", "    ")):
+        for licence, ids in licenses.SEQUENCES:
+            wrapped = [textwrap.wrap(licenses.TEXTS[name], width, break_long_words=False) for name in ids]
+            lines = [mark + line for paragraph in wrapped for line in [*paragraph, ""]]
+            rows.append((len(rows), "\n".join(["/*", *lines, "*/"])))
+            expected.append(([licence], 1))
+        rows.append((len(rows), f"{mark}This project is licensed under\n{mark}the MIT\n{mark}License."))
+        expected.append((["MIT"], 1))
+    got = found(documents(spark, rows))
+    assert [(k, licences, n) for k, _, licences, n in sorted(got)] == [(i, *e) for i, e in enumerate(expected)]
+
+
+APACHE = """
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS.
+"""
+GPL = """
+ This program is free software: you can redistribute it and/or modify
+ it under the terms of the GNU General Public License as published by
+ the Free Software Foundation, either version 3 of the License, or
+ (at your option) any later version.
+
+ This program is distributed in the hope that it will be useful,
+ but WITHOUT ANY WARRANTY; without even the implied warranty of
+ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def test_notices_as_they_are_printed(spark):
+    texts = [(1, APACHE), (2, GPL), (3, BSD)]
+    rows = [(k, t) for k, t in texts] + [(k + 10, t.replace("\n", "\n// ")) for k, t in texts]
+    rows += [(k + 20, t.replace("\n", "\r\n")) for k, t in texts]
+    names = {1: (2, ["Apache-2.0"], 1), 2: (2, ["GPL-3.0"], 1), 3: (3, ["BSD-2-Clause"], 1)}
+    assert found(documents(spark, rows)) == sorted(((k, *names[k % 10]) for k, _ in rows), key=str)
+
+
+def test_pieces_of_matches(spark):
+    text = "One.\nThis Source Code Form is subject\nto the terms of the Mozilla Public License, v. 2.0.\nEnd."
+    row = licenses.scan_licenses(documents(spark, [(1, text)])).first()
+    assert [tuple(m) for m in row["matches"]] == [("MPL-2.0", 1, 3)]
