@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barvault.llm import rolling
-from barvault.llm.support import small_batches
+from barvault.llm.support import row_key, small_batches
 from barvault.session import materialise
 
 TRAIN_ROWS = 20_000
@@ -286,6 +286,16 @@ class Model:
         return of(text.cast("binary"))
 
 
+def _drawn(joined: DataFrame, rows: int, seed: int) -> DataFrame:
+    """(_row): at most ``rows`` of the different (_id, _row), one of each _id before a second one of any."""
+    order = F.struct(F.xxhash64(F.lit(seed), "_row").alias("hash"), "_row")
+    different = materialise(joined.distinct())
+    # at most as many as sampled keys
+    first = different.groupBy("_id").agg(F.min(order)["_row"].alias("_row")).select("_row", F.lit(0).alias("later"))
+    ranked = different.join(F.broadcast(first), "_row", "left")
+    return ranked.orderBy(F.coalesce("later", F.lit(1)), F.xxhash64(F.lit(seed), "_row"), "_row").limit(rows).select("_row")
+
+
 def train_model(
     docs: DataFrame,
     labels: DataFrame,
@@ -299,10 +309,11 @@ def train_model(
     counterfactual: float = COUNTERFACTUAL,
     seed: int = SEED,
 ) -> Model:
-    """A model learnt from the labelled texts, at most ``rows`` of them, chosen by a seeded hash of the key.
+    """A model learnt from the labelled texts, at most ``rows`` of them, chosen by a seeded hash.
 
-    A key labelled twice takes the larger label; null keys and labels teach nothing. The sample is the only data that is
-    bounded, and it is a parameter: its keys are broadcast, candidate words and their counts are gathered by
+    A key labelled twice takes the larger label; null keys and labels teach nothing. Equal rows teach once; a key with
+    several texts teaches one of them, and more only where not every key is needed for the ``rows``. The sample is the
+    only data that is bounded, and it is a parameter: its keys are broadcast, candidate words and their counts are gathered by
     tasks, and the fit sees the numbers of the at most ``features`` telling words of each sampled text. Without
     labels, or with one kind only, the model has no words and scores by the share of label 1.
     """
@@ -312,7 +323,10 @@ def train_model(
     sample = known.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(rows)
     texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("text"))
     joined = texts.join(F.broadcast(sample), F.col("_key") == F.col("_id"))
-    train = materialise(joined.select("text", F.col("_toxic").alias("toxic")))
+    drawn = _drawn(joined.select("_id", row_key("_id", "text").alias("_row")), rows, seed)
+    # distinct on whole rows: repeated ones are folded within tasks, before they are shuffled
+    some = joined.withColumn("_row", row_key("_id", "text")).join(F.broadcast(drawn), "_row", "left_semi")
+    train = materialise(some.select("_id", "text", F.col("_toxic").alias("toxic")).distinct().drop("_id"))
     found = _candidates(train, candidates)
     hashes = _telling(train, found, features) if len(found) else found
     chosen = Chosen(hashes)

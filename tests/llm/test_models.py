@@ -153,6 +153,37 @@ def test_held_out_labels_do_not_matter(spark):
     assert all(r[1] == (zlib.crc32(str(r[0]).encode()) % 3 == 1) for r in first)
 
 
+def trained_on(monkeypatch, docs, marked, **options):
+    """The model, and how many labels and how many positive ones its fit saw."""
+    seen, fit = [], toxicity.fit
+
+    def watched(labels, *others):
+        seen.append((len(labels), int(labels.sum())))
+        return fit(labels, *others)
+
+    monkeypatch.setattr(toxicity, "fit", watched)
+    model = toxicity.train_model(docs, marked, **options)
+    monkeypatch.setattr(toxicity, "fit", fit)
+    return model, seen[0]
+
+
+def test_the_training_bound_holds_for_rows(spark, monkeypatch):
+    docs, marked = biased(spark, 200)
+    once, seen = trained_on(monkeypatch, docs, marked, rows=120)
+    assert seen[0] == 120
+    text = docs.where("doc_id = 8").first()["text"]
+    # a labelled document that is a large part of the table, once as equal rows, once as different texts
+    equal = docs.union(documents(spark, [(8, text)] * 400))
+    again, seen_again = trained_on(monkeypatch, equal, marked, rows=120)
+    assert seen_again == seen and np.array_equal(again.hashes, once.hashes) and again.bias == pytest.approx(once.bias)
+    assert again.weights == pytest.approx(once.weights)
+    different = docs.union(documents(spark, [(8, f"{text} {i}") for i in range(400)]))
+    _, many = trained_on(monkeypatch, different, marked, rows=120)
+    assert many == seen
+    # further texts of a key fill what room the others leave
+    assert trained_on(monkeypatch, different, marked, rows=210)[1] == (210, 60)
+
+
 @needs_tables
 def test_held_out_accuracy(spark):
     """On the tables at hand: rank held-out toxic texts above others, and select the good ones."""
