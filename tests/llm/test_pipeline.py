@@ -1,10 +1,14 @@
+import hashlib
 import os
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
 from __spark_entry__ import oracle_sql, queries
-from barvault.llm import decontaminate, registered, simhash
+from barvault.llm import decontaminate, mixing, quality, registered, sharding, simhash
+from barvault.llm.support import uniform
 from tests.llm.helpers import AWKWARD, SF_DIR, documents, needs_tables, random_texts, with_clashes
 from tests.llm.test_decontaminate import plain as plain_hits
 from tests.llm.test_simhash import plain_fingerprint, plain_groups
@@ -77,6 +81,81 @@ def test_some_of_equal_rows(spark):
     assert sorted(r["doc_id"] for r in kept) == [1] * 3 + [2] * 5
 
 
+#: ids from 0, copies with ids of their own, junk, two sources, and equal rows
+SMALL = [
+    (i, t + (" junk !!" * 200 if i % 10 == 3 else "") + (" one two three" if i % 11 == 5 else ""), f"s{i % 2}")
+    for i, t in enumerate(random_texts(8, 90, 60))
+]
+SMALL += SMALL[10:14] * 2
+
+
+def plain_good(spark, rows, good):
+    """Rows that importance resampling selects, by loops; only the seeded noise is Spark's."""
+    each = [np.concatenate([*quality.features(r[1].encode()), np.empty(0, int)]).astype(int) for r in rows]
+    raw, target = np.ones(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for row, found in zip(rows, each, strict=True):
+        for bucket in found:
+            raw[bucket] += 1
+            target[bucket] += row[0] in good
+    raw /= raw.sum()
+    target += 1 + quality.PRIOR * quality.BUCKETS * raw
+    ratios = np.log(target / target.sum()) - np.log(raw)
+    weights = [sum(ratios[f]) * min(1, 2 * quality.WORDS / max(len(f), 1)) for f in each]
+    draws = documents(spark, rows).select("doc_id", "text", uniform(quality.SEED, "doc_id", "text").alias("u")).collect()
+    noise = {(r["doc_id"], r["text"]): -np.log(-np.log(r["u"])) for r in draws}
+    ranked = sorted(range(len(rows)), key=lambda i: (-weights[i] - noise[rows[i][:2]], rows[i][0]))
+    return [rows[i] for i in ranked[: sum(w >= -quality.MARGIN for w in weights)]]
+
+
+def plain_mix(spark, rows):
+    """Rows as often as the mix takes them: whole copies of ``taken`` words."""
+    taken = mixing.mix_sources(documents(spark, rows)).where("taken > 0").collect()
+    copies = Counter()
+    for r in taken:
+        copies[r["key"]] += r["taken"] // r["size"]
+    return [k for k, n in copies.items() for _ in range(n)]
+
+
+def plain_shard(key):
+    filled = sharding.fill(sharding.shard_names())
+    return int(filled[int(hashlib.md5(str(key).encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE])
+
+
+def ids_of(df):
+    return Counter(r["doc_id"] for r in df.collect())
+
+
+def test_good_rows_are_those_of_plain_loops(spark, tables):
+    wanted = plain_good(spark, SMALL, set(range(0, 60, 2)))
+    assert 0 < len(wanted) < len(SMALL)
+    kept = pipeline.keep_good(spark, documents(spark, SMALL), tables).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in kept) == Counter(wanted)
+
+
+def test_copies_of_the_mix(spark, tables):
+    mixed = ids_of(pipeline.mix(spark, documents(spark, SMALL), tables))
+    assert mixed == Counter(plain_mix(spark, SMALL)) and max(mixed.values()) > 1
+
+
+def test_shards_are_those_of_the_filled_table(spark, tables):
+    docs = documents(spark, SMALL)
+    got = Counter((r["doc_id"], r["shard"]) for r in pipeline.shard(spark, docs, tables).collect())
+    assert got == Counter((r[0], plain_shard(r[0])) for r in SMALL)
+
+
+def test_run_is_the_plain_chain(spark, tables):
+    documents(spark, SMALL).write.parquet(f"{tables}/documents.parquet")
+    rows = plain_good(spark, SMALL, set(range(0, 60, 2)))
+    rows = sorted(rows)
+    groups = plain_groups([r[0] for r in rows], [plain_fingerprint(r[1]) for r in rows], simhash.DISTANCE)
+    rows = list({r[0]: r for r in rows if r[0] in set(groups)}.values())
+    items = [tuple(r) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    clean = {r[0] for r in plain_hits([r[:2] for r in rows], items, decontaminate.SPAN) if r[2] == 0}
+    rows = [r for r in rows if r[0] in clean]
+    wanted = Counter((k, plain_shard(k)) for k in plain_mix(spark, rows))
+    assert wanted and wanted == Counter((r["doc_id"], r["shard"]) for r in pipeline.run(spark, tables).collect())
+
+
 def test_names():
     found = queries()
     assert all(sum(name.startswith(f"op{n}_") for name in found) == 1 for n in range(1, 11)) and "pipeline" in found
