@@ -152,6 +152,146 @@ FROM scored
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
+# The CRC-32 of column ``h`` (the bytes in hexadecimal), with the table ``t`` of ``_CRC_TABLE``.
+_CRC_TABLE = """
+crc AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(
+        [n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+)"""
+_CRC = """xor(list_reduce(
+        [4294967295] || list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def _moves() -> tuple[str, str]:
+    """Rows (state, edits, inserted lines, role needed, new role, next state, cost) for a row, and the same for the end."""
+    turn = {"": "u", "s": "u", "a": "u", "u": "a"}
+    named = {"u": "user", "a": "assistant"}
+    rows, ends = [], []
+    for state in turn:
+        here, lines = state, []
+        for inserts in range(3):
+            lead, shown, cost = "I" * inserts, str(lines), 2 * inserts
+            if here in ("", "a"):
+                ends.append(f"('{state}', '{lead}', {shown}::VARCHAR[], {cost})")
+            then = turn[here]
+            rows.append(f"('{state}', '{lead}D', {shown}::VARCHAR[], NULL, NULL, '{here}', {cost + 3})")
+            rows.append(f"('{state}', '{lead}R', {shown}::VARCHAR[], NULL, '{named[then]}', '{then}', {cost + 2})")
+            for initial in {then, "s"} if here == "" else {then}:
+                rows.append(f"('{state}', '{lead}K', {shown}::VARCHAR[], '{initial}', NULL, '{initial}', {cost})")
+            here, lines = then, [*lines, named[then] + ":"]
+    return ", ".join(sorted(rows)), ", ".join(ends)
+
+
+_ROW_MOVES, _END_MOVES = _moves()
+_WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE.strip()},
+shown AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h
+    FROM conversations
+),
+fated AS (SELECT conv_id, turn, role, text, {_CRC} % 20 AS fate FROM shown, crc),
+harmed AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+           CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM fated WHERE fate <> 0
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM harmed
+),
+judged AS (
+    SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS c,
+           substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) || substr(role, 1, 1) AS two,
+           CASE WHEN trim(text, {_WHITE_SQL}) = '' THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN right(trim(text, {_WHITE_SQL}), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault
+    FROM placed
+),
+facts AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+           count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+           count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM judged GROUP BY conv_id
+),
+moves(state, edits, lines, c, named, target, cost) AS (VALUES {_ROW_MOVES}),
+ends(state, edits, lines, cost) AS (VALUES {_END_MOVES}),
+ways AS (
+    SELECT DISTINCT conv_id, 0 AS i, '' AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM conversations
+    UNION ALL
+    SELECT conv_id, i, state, cost, audit, lines FROM (
+        SELECT w.conv_id, w.i + 1 AS i, m.target AS state,
+               w.cost + m.cost + CASE WHEN j.fault = 'truncated' AND right(m.edits, 1) <> 'D' THEN 1 ELSE 0 END AS cost,
+               w.audit || m.edits AS audit,
+               w.lines || m.lines || CASE right(m.edits, 1) WHEN 'D' THEN []::VARCHAR[]
+                   WHEN 'R' THEN [m.named || ':' || j.text] ELSE [j.role || ':' || j.text] END AS lines
+        FROM ways w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+        JOIN moves m ON m.state = w.state AND (m.c IS NULL OR m.c = j.c)
+             AND (right(m.edits, 1) = 'D' OR j.fault NOT IN ('blank', 'duplicate'))
+    ) QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1
+),
+finished AS (
+    SELECT w.conv_id, w.i, w.cost + e.cost AS cost, w.audit || e.edits AS audit, w.lines || e.lines AS lines
+    FROM ways w JOIN ends e ON e.state = w.state
+)
+SELECT f.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, f.cost::BIGINT AS cost, f.audit,
+       sha256(coalesce(array_to_string(f.lines, chr(10)), '')) AS repaired_sha256
+FROM finished f LEFT JOIN facts x ON x.conv_id IS NOT DISTINCT FROM f.conv_id
+WHERE f.i = coalesce(x.n, 0)
+QUALIFY row_number() OVER (PARTITION BY f.conv_id ORDER BY f.cost, f.audit) = 1
+"""
+
+OP13 = rf"""
+WITH RECURSIVE {_CRC_TABLE.strip()},
+runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents
+),
+counted AS (SELECT id, run, count(*) AS m, hex(encode(id || ':' || run)) AS h FROM runs GROUP BY id, run),
+hashed AS (SELECT run, m, {_CRC} AS v FROM counted, crc),
+spelled AS (
+    SELECT CASE WHEN v % 97 = 0 THEN substr(run, 1, v % length(run)) || substr(run, v % length(run) + 2) ELSE run END AS word, m
+    FROM hashed
+),
+vocab AS (
+    SELECT word, sum(m)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3
+),
+cut AS (
+    SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+    FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocab)
+),
+pairs AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest
+    WHERE a.word <> b.word
+    UNION
+    SELECT c.word, c.n, v.word, v.n FROM cut c JOIN vocab v ON c.rest = v.word
+    UNION
+    SELECT v.word, v.n, c.word, c.n FROM cut c JOIN vocab v ON c.rest = v.word
+),
+best AS (
+    SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM pairs
+    QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1
+),
+formed AS (
+    SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form,
+           CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n
+    FROM vocab v LEFT JOIN best b ON b.word = v.word
+),
+path AS (
+    SELECT word, word AS tip, 0 AS step FROM formed
+    UNION ALL
+    SELECT p.word, f.form, p.step + 1 FROM path p JOIN formed f ON f.word = p.tip WHERE f.form IS NOT NULL
+),
+roots AS (SELECT word, arg_max(tip, step) AS root FROM path GROUP BY word)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN roots r ON r.word = f.word
+"""
+
 ORACLE: dict[str, str] = {
     "op3_suffix_dedup": OP3,
     "op4_sharding": OP4,
@@ -159,4 +299,6 @@ ORACLE: dict[str, str] = {
     "op6_decontamination": OP6,
     "op8_licenses": OP8,
     "op9_topk": OP9,
+    "op12_conversation_repair": OP12,
+    "op13_spelling_variants": OP13,
 }

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barvault.llm import (
+    conversations,
     decontaminate,
     licenses,
     line_dedup,
     mixing,
+    piece_bpe,
     quality,
     sharding,
     simhash,
+    spelling,
     suffix_dedup,
     topk,
     toxicity,
@@ -99,6 +102,33 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select(F.col("key").alias("doc_id"), "log_weight", "perturbed", "selected")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Piece ids of every document and the text they decode to; ``model`` is the path of a BPE model."""
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piece_bpe.with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_bpe.read_model(model))
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and the cheapest edits that repair it."""
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repair_report(rows, absent="absent")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the documents."""
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
 REGISTERED: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -110,4 +140,7 @@ REGISTERED: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
