@@ -17,6 +17,7 @@ from __future__ import annotations
 import codecs
 import itertools
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import ahocorasick
@@ -30,7 +31,8 @@ from barvault.llm.support import small_batches
 
 SPACE = "▁"  # fixed value: stands for a blank inside pieces
 UNKNOWN_SURFACE = " ⁇ "  # fixed value: what an unknown id reads as
-KNOWN = 200_000  # stretches and pairs remembered by a worker
+KNOWN = 400_000  # stretches remembered by a worker, and as many older ones
+PAIRS = 1_000_000  # pairs remembered by a worker
 SHORT = 64  # longer stretches are not remembered
 
 _NEVER = float("-inf")
@@ -44,21 +46,68 @@ codecs.register_error("barvault.each_byte", _each_byte)
 
 
 class _Remembered(dict):
-    """Values of a function, forgotten all at once when they become too many."""
+    """Values of a function. When they become too many, those not asked for since the last time are forgotten."""
 
     def __init__(self, function):
         super().__init__()
         self.function = function
+        self.older: dict = {}
 
     def __missing__(self, key):
-        value = self.function(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
         if len(key) <= SHORT:
             if len(self) >= KNOWN:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+class _Piece:
+    """A piece in the prefix table: its id, its length, and which pieces may follow it, as far as that was asked."""
+
+    __slots__ = ("text", "id", "size", "followers")
+
+    def __init__(self, text: str, id_: int | None):
+        self.text, self.id, self.size = text, id_, len(text)
+        self.followers: dict[_Piece, bool] = {}
+
+
+def _stretch_pattern(pieces: Iterable[str], letters: set[str]) -> str:
+    """A pattern that cuts a text where no piece reaches across, so that what lies between is encoded on its own.
+
+    Characters that are neighbours in a piece are of one family. No merge joins characters of two families, or one that
+    no piece has to anything; the run of blanks before a stretch belongs to it, as pieces have blanks in front only.
+    """
+    if not letters:
+        return "(?s:.)"
+    known = "".join(map(re.escape, sorted(letters)))
+    if SPACE not in letters or any(SPACE in piece.lstrip(SPACE) for piece in pieces):
+        return f"[{known}]+|[^{known}]"
+    family = {c: c for c in letters}
+
+    def head(c: str) -> str:
+        while family[c] != c:
+            family[c] = c = family[family[c]]
+        return c
+
+    for piece in pieces:
+        for a, b in itertools.pairwise(piece.lstrip(SPACE)):
+            family[head(a)] = head(b)
+    members: dict[str, list[str]] = {}
+    for c in sorted(letters - {SPACE}):
+        members.setdefault(head(c), []).append(c)
+    repeated = {a for piece in pieces for a, b in itertools.pairwise(piece) if a == b}
+    groups = sorted(members.values(), key=len, reverse=True)
+    runs = [f"[{''.join(map(re.escape, group))}]+" for group in groups if len(group) > 1 or group[0] in repeated]
+    alone = [re.escape(group[0]) for group in groups if len(group) == 1 and group[0] not in repeated]
+    if alone:
+        runs.append(f"[{''.join(alone)}]")
+    return (f"{SPACE}*(?:{'|'.join(runs)})|" if runs else "") + f"{SPACE}+|[^{known}]"
+
+
 class PieceTable:
     """Encoder and decoder of one model, given as the bytes of its file.
 
@@ -79,25 +128,16 @@ class PieceTable:
         self.byte_ids = [byte_ids.get(f"<0x{b:02X}>", self.unknown) for b in range(256)]
         self.surface = [self._surface(i) for i in range(size)]
         self.alone = _Remembered(self._alone)
-        self.pairs = _Remembered(self._compatible)
+        self.pairs = 0
         self.known = _Remembered(self._stretch_ids)
 
         self.letters = letters = {c for piece in self.ids for c in piece}
         self.automaton = ahocorasick.Automaton()
         for piece in letters | {p for p in self.ids if self._alone(p) is not None}:
-            self.automaton.add_word(piece, piece)
+            self.automaton.add_word(piece, _Piece(piece, self.ids.get(piece)))
         if letters:
             self.automaton.make_automaton()
-        # No merge joins a character that no piece has to anything. If no piece has a blank after another character,
-        # none crosses the border before a run of blanks either. What lies between such borders is encoded on its own.
-        own = "".join(map(re.escape, sorted(letters - {SPACE})))
-        if not letters:
-            self.stretches = re.compile("(?s:.)")
-        elif SPACE not in letters or any(SPACE in piece.lstrip(SPACE) for piece in self.ids):
-            known = "".join(map(re.escape, sorted(letters)))
-            self.stretches = re.compile(f"[{known}]+|[^{known}]")
-        else:
-            self.stretches = re.compile(f"{SPACE}+[{own}]*|[{own}]+|[^{SPACE}{own}]" if own else f"{SPACE}+|[^{SPACE}]")
+        self.stretches = re.compile(_stretch_pattern(self.ids, letters))
 
     def _surface(self, i: int) -> bytes:
         if self.library.is_control(i):
@@ -125,14 +165,14 @@ class PieceTable:
             last.append(symbols[-1])
         return won, first, last
 
-    def _compatible(self, pair: tuple[str, str]) -> bool:
+    def _compatible(self, before: str, piece: str) -> bool:
         """Whether the text of two pieces is encoded as these two.
 
         The merges within both pieces are replayed in the order in which they win; a merge across the border that wins
         over the next one of each ends it. Of equal scores the left one wins: the left piece, the border, the right piece.
         """
-        left, _, ends = self.alone[pair[0]]
-        right, starts, _ = self.alone[pair[1]]
+        left, _, ends = self.alone[before]
+        right, starts, _ = self.alone[piece]
         i = j = 0
         while True:
             own = left[i] if i < len(left) else _NEVER
@@ -148,29 +188,47 @@ class PieceTable:
                 j += 1
 
     # --- the prefix table ---------------------------------------------------------------------------------------
-    def _pieces(self, stretch: str) -> list[str]:
+    def _follows(self, before: _Piece, piece: _Piece) -> bool:
+        """Whether a piece may follow another one; the answer is kept with that one."""
+        if self.pairs >= PAIRS:
+            for known in self.automaton.values():
+                known.followers.clear()
+            self.pairs = 0
+        self.pairs += 1
+        answer = before.followers[piece] = self._compatible(before.text, piece.text)
+        return answer
+
+    def _pieces(self, stretch: str) -> list[_Piece]:
         """The pieces of a stretch whose characters all occur in pieces."""
-        last: list[str | None] = [None] * (len(stretch) + 1)
-        pairs = self.pairs
-        for at, piece in self.automaton.iter(stretch):
-            if last[at + 1] is None:
-                before = at + 1 - len(piece)
-                if not before or pairs[last[before], piece]:
-                    last[at + 1] = piece
-        out, at = [], len(stretch)
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
+        last: list[_Piece | None] = [None] * len(stretch)
+        for end, piece in self.automaton.iter(stretch):
+            if last[end] is None:
+                if piece.size > end:
+                    last[end] = piece
+                    continue
+                before = last[end - piece.size]
+                fits = before.followers.get(piece)
+                if fits or (fits is None and self._follows(before, piece)):
+                    last[end] = piece
+        out, end = [], len(stretch) - 1
+        while end >= 0:
+            out.append(last[end])
+            end -= last[end].size
         out.reverse()
         return out
 
+    def _spelled(self, text: str) -> list[int]:
+        """The bytes of a character without a piece of its own."""
+        return [self.byte_ids[b] for b in text.encode()]
+
     def _stretch_ids(self, stretch: str) -> tuple[int, ...]:
-        found = []
-        for piece in self._pieces(stretch) if stretch[0] in self.letters else stretch:
-            own = self.ids.get(piece)
-            # a character without a piece of its own is spelled in bytes
-            found += [own] if own is not None else [self.byte_ids[b] for b in piece.encode()]
-        return tuple(found)
+        if stretch[0] not in self.letters:
+            return tuple(self._spelled(stretch))
+        pieces = self._pieces(stretch)
+        ids = [piece.id for piece in pieces]
+        if None in ids:
+            ids = itertools.chain.from_iterable([p.id] if p.id is not None else self._spelled(p.text) for p in pieces)
+        return tuple(ids)
 
     def encode(self, text: str, end: bool = True) -> list[int]:
         """The ids of a text; ``end`` adds the end id."""

@@ -81,14 +81,22 @@ def test_prefix_table_on_invented_pieces(seed):
     pieces = {"a", "b", "c"} | {"".join(r.choice("abcd") for _ in range(r.randint(2, 5))) for _ in range(40)}
     own = piece_bpe.PieceTable.__new__(piece_bpe.PieceTable)
     own.scores = {p: float(r.randint(-15, 0)) for p in pieces}
-    own.alone, own.pairs = piece_bpe._Remembered(own._alone), piece_bpe._Remembered(own._compatible)
+    own.alone, own.pairs = piece_bpe._Remembered(own._alone), 0
     own.automaton = piece_bpe.ahocorasick.Automaton()
     for p in set("abcd") | {p for p in pieces if own._alone(p) is not None}:
-        own.automaton.add_word(p, p)
+        own.automaton.add_word(p, piece_bpe._Piece(p, None))
     own.automaton.make_automaton()
     for _ in range(400):
         text = "".join(r.choice("abcd") for _ in range(r.randint(1, 30)))
-        assert own._pieces(text) == merged(own.scores, text), text
+        assert [p.text for p in own._pieces(text)] == merged(own.scores, text), text
+
+
+def test_forgetting_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(piece_bpe, "KNOWN", 3)
+    monkeypatch.setattr(piece_bpe, "PAIRS", 7)
+    own = piece_bpe.PieceTable(piece_bpe.read_model(PATH))
+    for text in [*ODD, *random_texts(6, 20), *random_strings(7, 100)]:
+        assert own.encode(text, end=False) == library.encode(text)
 
 
 def test_rows_keep_their_columns(spark, library):
