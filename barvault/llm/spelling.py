@@ -4,12 +4,13 @@ Two words one edit apart share at least one of any two disjoint bigrams of eithe
 edit touches no two disjoint bigrams. With all bigrams in one order, rarest first, a word's *prefix* is its first three
 (and those that tie with the third): two of them are always disjoint, and the cheapest such two are its *pivots*. Of two
 near words, take the one whose prefix ends earlier in the order: the pivot it shares lies in the other's prefix. So only
-pivots are matched with prefixes, by bigram, place and length, and what meets is verified.
+pivots are matched with prefixes, by place, length and the side of the word that the edit leaves alone, and what meets is
+verified.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barvault.llm.support import ascii_lower
@@ -62,77 +63,102 @@ def _grams(word: Column) -> Column:
 
 
 def _pivots(prefix: Column) -> Column:
-    """The two disjoint grams of least total count out of (often, gram, at), as an array.
+    """The places of the two disjoint grams of least total count out of (rank, at, often), the first one first.
 
     Dynamic programming along the places: ``one`` holds the grams passed, ``two`` the cheapest pair that ends so far;
     a gram is added to the cheapest one that it does not overlap.
     """
-    gram = "struct<often:bigint,gram:string,at:int>"
+    gram = "struct<often:bigint,at:int>"
     nothing = F.struct(
         F.array().cast(f"array<{gram}>").alias("one"),
-        F.lit(None).cast(f"struct<cost:bigint,a:{gram},b:{gram}>").alias("two"),
+        F.lit(None).cast("struct<cost:bigint,a:int,b:int>").alias("two"),
     )
 
     def step(state: Column, x: Column) -> Column:
+        own = F.struct(x["often"].alias("often"), x["at"].alias("at"))
         apart = F.array_min(F.filter(state["one"], lambda o: o["at"] + _GRAM <= x["at"]))
-        pair = F.struct((apart["often"] + x["often"]).alias("cost"), apart.alias("a"), x.alias("b"))
+        pair = F.struct((apart["often"] + x["often"]).alias("cost"), apart["at"].alias("a"), x["at"].alias("b"))
         better = apart.isNotNull() & (state["two"].isNull() | (pair["cost"] < state["two"]["cost"]))
         return F.struct(
-            F.concat(state["one"], F.array(x)).alias("one"), F.when(better, pair).otherwise(state["two"]).alias("two")
+            F.concat(state["one"], F.array(own)).alias("one"), F.when(better, pair).otherwise(state["two"]).alias("two")
         )
 
     by_place = F.array_sort(prefix, lambda a, b: a["at"] - b["at"])
-    chosen = F.aggregate(by_place, nothing, step)["two"]
-    return F.array(chosen["a"], chosen["b"])
+    return F.aggregate(by_place, nothing, step)["two"]
 
 
 def gram_index(vocab: DataFrame) -> DataFrame:
-    """(word, n, size, prefix, limit, pivots) per word; ``limit`` is the last gram of the prefix in the order."""
+    """(word, n, size, prefix, limit, a, b) per word: the places of its prefix, the rank of the last gram of that in the
+    order of all grams, and the places of its pivots."""
     places = vocab.select("word", "n", F.explode(_grams(F.col("word"))).alias("g")).select("word", "n", "g.gram", "g.at")
-    # two letters out of 90: at most 8,100 rows, safe to broadcast
     often = places.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    ranked = places.join(F.broadcast(often), "gram")
+    # two letters out of 90: at most 8,100 rows to number in one task and to broadcast
+    ranks = often.withColumn("rank", F.row_number().over(Window.orderBy("often", "gram")))
+    ranked = places.join(F.broadcast(ranks), "gram")
     ordered = ranked.groupBy("word", "n").agg(
-        F.sort_array(F.collect_list(F.struct("often", "gram", "at"))).alias("grams")
+        F.sort_array(F.collect_list(F.struct("rank", "at", "often"))).alias("grams")
     )
-    third = F.element_at("grams", _PREFIX)
-    limit = F.struct(third["often"].alias("often"), third["gram"].alias("gram"))
-    within = F.filter("grams", lambda g: F.struct(g["often"].alias("often"), g["gram"].alias("gram")) <= limit)
+    limit = F.element_at("grams", _PREFIX)["rank"]
+    prefix = F.transform(F.filter("grams", lambda g: g["rank"] <= limit), lambda g: g["at"])
     return ordered.select(
-        "word", "n", F.length("word").alias("size"), within.alias("prefix"), limit.alias("limit"),
-        _pivots(F.slice("grams", 1, _PREFIX)).alias("pivots"),
-    )
+        "word", "n", F.length("word").alias("size"), prefix.alias("prefix"), limit.alias("limit"),
+        _pivots(F.slice("grams", 1, _PREFIX)).alias("_p"),
+    ).select("word", "n", "size", "prefix", "limit", "_p.a", "_p.b")
+
+
+def _left(word: Column, count: Column) -> Column:
+    return F.substring(word, F.lit(1), count)
+
+
+def _right(word: Column, start: Column) -> Column:
+    return F.substring(word, start, F.length(word))
 
 
 def near_pairs(vocab: DataFrame) -> DataFrame:
-    """(word, n, other, other_n) for all words (of at least four letters) exactly one edit apart, in both directions."""
+    """(word, n, other, other_n) for all words (of at least four letters) exactly one edit apart, in both directions.
+
+    An edit before the second pivot leaves that pivot and all behind it as they are; any other edit leaves the first
+    pivot and all before the second one. So the pivot is matched together with the end of the word from it on, or with the
+    start of the word up to it, which also fixes its place. Of the part that holds the edit, one half must be the same.
+    """
     index = materialise(gram_index(vocab))
-    # one edit moves a gram by as much as it changes the length, or not at all
-    shifts = F.array(
-        *[F.struct(F.lit(by).alias("by"), F.lit(more).alias("more")) for by, more in ((0, 0), (0, 1), (1, 1), (0, -1), (-1, -1))]
+    word, size, a, b = F.col("word"), F.col("size"), F.col("a"), F.col("b")
+    middle = b - 1 + F.ceil((size - b + 1) / 2).cast("int")
+    before = F.floor((b - 1) / 2).cast("int")
+    start = F.struct(
+        F.lit(0).alias("side"), _left(word, a + 1).alias("part"), _left(word, b - 1).alias("stem"),
+        _left(word, middle).alias("front"), _right(word, middle + 1).alias("back"),
+    )
+    end = F.struct(
+        F.lit(1).alias("side"), _right(word, b).alias("part"), F.lit("").alias("stem"),
+        _left(word, before).alias("front"), _right(word, before + 1).alias("back"),
+    )
+    asked = index.select("word", "n", "limit", "size", F.explode(F.array(start, end)).alias("k")).select(
+        "word", "n", "limit", "k.*", F.explode(F.array(size - 1, size, size + 1)).alias("size")
     )
-    asked = (
-        index.select("word", "n", "size", "limit", F.explode("pivots").alias("p"))
-        .select("word", "n", "size", "limit", "p.gram", "p.at", F.explode(shifts).alias("s"))
-        .select(
-            "word", "n", "limit", "gram", (F.col("at") + F.col("s.by")).alias("at"),
-            (F.col("size") + F.col("s.more")).alias("size"),
-        )
+    other, at = F.col("other"), F.col("at")
+    parts = F.array(
+        F.struct(F.lit(0).alias("side"), _left(other, at + 1).alias("part")),
+        F.struct(F.lit(1).alias("side"), _right(other, at).alias("part")),
+    )
+    held = (
+        index.select(word.alias("other"), F.col("n").alias("other_n"), "size", F.col("limit").alias("other_limit"), F.explode("prefix").alias("at"))
+        .select("other", "other_n", "size", "other_limit", F.explode(parts).alias("k"))
+        .select("other", "other_n", "size", "other_limit", "k.side", "k.part")
     )
-    held = index.select(
-        F.col("word").alias("other"), F.col("n").alias("other_n"), "size", F.col("limit").alias("other_limit"),
-        F.explode("prefix").alias("p"),
-    ).select("other", "other_n", "size", "other_limit", "p.gram", "p.at")
-    a, b = asked.alias("a"), held.alias("b")
-    met = a.join(
-        b,
-        (F.col("a.gram") == F.col("b.gram"))
-        & (F.col("a.at") == F.col("b.at"))
-        & (F.col("a.size") == F.col("b.size"))
-        & (F.col("a.limit") <= F.col("b.other_limit"))
-        & (F.col("a.word") != F.col("b.other"))
-        & (F.levenshtein(F.col("a.word"), F.col("b.other"), 1) == 1),
-    ).select("a.word", "a.n", "b.other", "b.other_n")
+    x, y = asked.alias("x"), held.alias("y")
+    other = F.col("y.other")
+    met = x.join(
+        y,
+        (F.col("x.part") == F.col("y.part"))
+        & (F.col("x.size") == F.col("y.size"))
+        & (F.col("x.side") == F.col("y.side"))
+        & (F.col("x.limit") <= F.col("y.other_limit"))
+        & other.startswith(F.col("x.stem"))
+        & (other.startswith(F.col("x.front")) | other.endswith(F.col("x.back")))
+        & (F.col("x.word") != other)
+        & (F.levenshtein(F.col("x.word"), other, 1) == 1),
+    ).select("x.word", "x.n", "y.other", "y.other_n")
     return met.union(met.select("other", "other_n", "word", "n")).distinct()
 
 

@@ -82,13 +82,16 @@ def test_long_chain_of_forms(spark):
 
 
 def test_pivots_are_the_cheapest_disjoint_grams(spark):
-    vocab = spark.createDataFrame([(w, 3) for w in words(5, 200, "abcd")], "word string, n bigint")
-    for row in spelling.gram_index(vocab).collect():
-        first = sorted((g.often, g.gram, g["at"]) for g in row.prefix)[:3]
-        cheapest = min(a[0] + b[0] for a in first for b in first if b[2] - a[2] >= 2)
-        a, b = row.pivots
-        assert b["at"] - a["at"] >= 2 and a.often + b.often == cheapest
-        assert all((g.often, g.gram) <= tuple(row.limit) for g in row.prefix)
+    vocab = words(5, 200, "abcd")
+    often = Counter(w[i : i + 2] for w in vocab for i in range(len(w) - 1))
+    rank = {g: i for i, g in enumerate(sorted(often, key=lambda g: (often[g], g)), 1)}
+    df = spark.createDataFrame([(w, 3) for w in vocab], "word string, n bigint")
+    for row in spelling.gram_index(df).collect():
+        grams = sorted((rank[row.word[i : i + 2]], i + 1) for i in range(len(row.word) - 1))
+        assert row.limit == grams[2][0] and row.prefix == [at for r, at in grams if r <= row.limit]
+        cost = lambda at: often[row.word[at - 1 : at + 1]]  # noqa: B023, E731
+        pairs = [cost(p) + cost(q) for _, p in grams[:3] for _, q in grams[:3] if q - p >= 2]
+        assert row.b - row.a >= 2 and cost(row.a) + cost(row.b) == min(pairs)
 
 
 def test_awkward_documents(spark):
