@@ -74,6 +74,11 @@ def parse_candle_time(text: Column) -> Column:
     return text.cast("timestamp_ntz")
 
 
+def try_candle_time(text: Column) -> Column:
+    """``parse_candle_time``, NULL for a text that is no time."""
+    return text.try_cast("timestamp_ntz")
+
+
 def parse_http_date(text: Column) -> Column:
     """``Tue, 24 Mar 2020 09:37:00 GMT`` as a UTC wall-clock timestamp."""
     return F.to_timestamp_ntz(F.substring(text, 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))

@@ -37,6 +37,8 @@ PAGE = (
     f"values array<struct<{CANDLE_ROW.replace(' string', ':string')}>>, "
     "status string, code int, message string"
 )
+#: what a record that is not of the expected form is kept in
+CORRUPT = "corrupt_record"
 USAGE_LOG = (
     "key_name string, date string, credits_used int, credits_left int, daily_limit int, daily_remaining int"
 )
@@ -112,6 +114,8 @@ FOREIGN_KEYS: dict[str, dict[str, str]] = {
     "time_tracking_info": {"stock": "stocks"},
 }
 
+#: stored prices; the largest one is 99,999.99999
+PRICE = "decimal(10,5)"
 CANDLES = (
     "asset_class string, time_interval string, series_key string, ID bigint, datetime timestamp_ntz, "
     "open decimal(10,5), close decimal(10,5), high decimal(10,5), low decimal(10,5), volume bigint"

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barvault import schemas
-from barvault.functions import clock, text
+from barvault.functions import clock
+from barvault.sources import chains, checked
 
 NOT_FOUND = 404  # fixed value: the only error code that stops a query
 DEFAULT_POINTS = 5000  # fixed values: defaults of a candle query
@@ -25,6 +26,7 @@ def read_responses(spark: SparkSession, path: str, schema: str, multi_line: bool
     return (
         spark.read.schema(schema)
         .option("multiLine", multi_line)
+        .option("columnNameOfCorruptRecord", schemas.CORRUPT)
         .json(path)
         .withColumn("source_file", F.col("_metadata.file_path"))
     )
@@ -72,44 +74,32 @@ def read_exchanges(spark: SparkSession, path: str, **options) -> DataFrame:
 
 # --- candle pages ----------------------------------------------------------------------------------------------
 def read_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return read_responses(spark, path, schemas.PAGE, multi_line)
+    """Landed pages; a record that is not of their form is kept as text in a column of its own."""
+    return read_responses(spark, path, f"{schemas.PAGE}, {schemas.CORRUPT} string", multi_line)
 
 
 def page_candles(pages: DataFrame) -> DataFrame:
-    """Every value of every good page as a typed candle, with the series it belongs to."""
-    # the page fields become columns before the values are exploded, so the scan reads only these fields
-    page = good_responses(pages, "values").select(
-        "meta.symbol", F.col("meta.interval").alias("time_interval"), "meta.mic_code", "meta.currency", "values"
-    )
-    rows = page.select("symbol", "time_interval", "mic_code", "currency", F.explode("values").alias("v"))
-    pair = text.looks_like_pair(F.col("symbol"))
-    key = F.when(pair, text.forex_key(F.col("symbol"), F.col("time_interval"))).otherwise(
-        text.equity_key(F.col("symbol"), F.col("mic_code"))
-    )
-    price = lambda name: F.col(f"v.{name}").cast("decimal(10,5)").alias(name)
-    return rows.select(
-        F.when(pair, "forex").otherwise("equity").alias("asset_class"),
-        "time_interval",
-        key.alias("series_key"),
-        "symbol",
-        "mic_code",
-        "currency",
-        clock.parse_candle_time(F.col("v.datetime")).alias("datetime"),
-        price("open"),
-        price("close"),
-        price("high"),
-        price("low"),
-        F.when(~pair, F.col("v.volume").cast("bigint")).alias("volume"),
-    )
+    """Every good value of every good page as a typed candle, with the series and the page it belongs to.
+
+    What is missing, malformed or too large is in ``page_rejects``; the rest of the load goes on without it.
+    """
+    return checked.good(checked.judged_pages(pages)).drop("source_file", "value_pos")
+
 
+def page_rejects(pages: DataFrame) -> DataFrame:
+    """One row per bad value of the pages: file, place, series, field, text and what is wrong with it."""
+    return checked.rejected(checked.judged_pages(pages))
 
-_IDENTITY = ("asset_class", "time_interval", "series_key")
-_VALUES = ("datetime", "open", "close", "high", "low", "volume")
+
+def page_chains(pages: DataFrame, earliest: DataFrame | None = None) -> DataFrame:
+    """The chains that the pages of each series form, with the gaps between them (see ``chains.chain_report``)."""
+    return chains.chain_report(checked.page_table(pages), earliest)
 
 
 def stitch(page_rows: DataFrame) -> DataFrame:
-    """Neighbouring pages share one candle: keep one copy. Sort by ``datetime`` descending for the provider's order."""
-    return page_rows.select(*_IDENTITY, *_VALUES).dropDuplicates([*_IDENTITY, "datetime"])
+    """Neighbouring pages share one candle: keep the copy of the newer page. Sort by ``datetime`` descending for the
+    provider's order."""
+    return chains.stitched(page_rows)
 
 
 def candle_page(
@@ -143,25 +133,13 @@ def candle_page(
 
 
 def read_candle_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Candles landed as CSV in folders ``series_key=…/time_interval=…``; the separator is the caller's."""
-    rows = (
-        spark.read.schema(f"{schemas.CANDLE_ROW}, series_key string, time_interval string")
-        .option("header", True)
-        .option("sep", sep)
-        .option("enforceSchema", False)
-        .csv(path)
-    )
-    price = lambda name: F.col(name).cast("decimal(10,5)").alias(name)
-    return rows.select(
-        "series_key",
-        "time_interval",
-        clock.parse_candle_time(F.col("datetime")).alias("datetime"),
-        price("open"),
-        price("close"),
-        price("high"),
-        price("low"),
-        F.col("volume").cast("bigint").alias("volume"),
-    )
+    """Good candles landed as CSV in folders ``series_key=…/time_interval=…``; the separator is the caller's."""
+    return checked.good(checked.judged_csv(spark, path, sep)).drop("source_file")
+
+
+def csv_rejects(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """One row per bad value of the CSV files, and per line with too few or too many fields."""
+    return checked.rejected(checked.judged_csv(spark, path, sep))
 
 
 # --- usage log -------------------------------------------------------------------------------------------------
