@@ -18,3 +18,7 @@ class DataNotPresent(Exception):
 
 class DataUncertain(Exception):
     """The request matches more than one thing, or nothing that can be told apart."""
+
+
+class ConcurrentWrite(Exception):
+    """A write was overtaken by other writers again and again."""

@@ -11,14 +11,23 @@ from barvault.errors import SeriesExists, SeriesNotFound
 from barvault.operators.joins import join_unique
 from barvault.operators.series import flag_registered, resolve_one, resolve_series
 from barvault.session import materialise
+from barvault.sources import checked
 from barvault.sources.archive import SERIES, CandleArchive
-from barvault.sources.landing import page_candles, stitch
+from barvault.sources.landing import stitch
+
+
+def _rejects_for(judged: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Bad values of the wanted series, and of pages that do not tell their series."""
+    found = checked.rejected(judged)
+    named = wanted.select("time_interval", "series_key").distinct()
+    return found.join(named, ["time_interval", "series_key"], "left_semi").unionByName(found.where("series_key IS NULL"))
 
 
 def save_series(
     archive: CandleArchive, worklist: DataFrame, pages: DataFrame, stocks: DataFrame, forex_pairs: DataFrame
 ) -> DataFrame:
-    """Store the full landed history of every series of the worklist that has no candles yet.
+    """Store the full landed history of every series of the worklist that has no candles yet. Bad values do not stop the
+    load; they come into the archive's rejects.
 
     Returns the worklist with its ``status``: stored, exists (has candles already) or why it was not resolved.
     """
@@ -28,7 +37,9 @@ def save_series(
     report = materialise(known.join(held, list(SERIES), "left").withColumn("status", status).drop("_held"))
     wanted = report.where("status = 'stored'").select(*SERIES).distinct()
     archive.register(wanted)
-    archive.append(stitch(page_candles(pages)).join(wanted, list(SERIES), "left_semi"))
+    judged = materialise(checked.judged_pages(pages))
+    rows = stitch(checked.good(judged).join(wanted, list(SERIES), "left_semi"))
+    archive.append(rows, rejects=_rejects_for(judged, wanted))
     return report
 
 
@@ -56,11 +67,12 @@ def update_series(
     )
     report = materialise(known.withColumn("status", status).drop("registered"))
     wanted = report.where("status = 'updated'").select(*SERIES, "latest").distinct()
-    rows = join_unique(stitch(page_candles(pages)), wanted, SERIES, "inner")
+    judged = materialise(checked.judged_pages(pages))
+    rows = join_unique(stitch(checked.good(judged)), wanted, SERIES, "inner")
     rows = rows.where(F.col("latest").isNull() | (F.col("datetime") >= F.col("latest")))
     if end_date is not None:
         rows = rows.where(F.col("datetime") <= limit)
-    archive.append(rows.drop("latest"))
+    archive.append(rows.drop("latest"), rejects=_rejects_for(judged, wanted))
     return report.drop("latest")
 
 

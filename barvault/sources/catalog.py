@@ -41,14 +41,17 @@ VIEWS = {
         FROM {db}.time_tracking_info t
         LEFT JOIN {db}.stocks s ON s.ID = t.stock
         LEFT JOIN {db}.markets m ON m.ID = s.exchange""",
+    # written anew with every commit, so that it shows committed candles only
     "candles_explained": """
-        SELECT *, open > close AS bearish, open < close AS bullish FROM {db}.candles""",
+        SELECT asset_class, time_interval, series_key, ID, datetime, open, close, high, low, volume, period,
+               open > close AS bearish, open < close AS bullish
+        FROM {db}.candles WHERE {committed}""",
 }
 
 ARCHIVE_TABLES = {
-    "candles": (f"{schemas.CANDLES}, period date", ("asset_class", "time_interval", "period")),
-    "series_registry": (schemas.REGISTRY, ()),
-    "series_log": (f"{schemas.REGISTRY}, last_id bigint, latest timestamp_ntz", ()),
+    "candles": (f"{schemas.CANDLES}, period date, batch string", ("asset_class", "time_interval", "period", "batch")),
+    "series_registry": (f"{schemas.REGISTRY}, batch string", ()),
+    "series_log": (f"{schemas.REGISTRY}, last_id bigint, latest timestamp_ntz, batch string", ()),
 }
 
 
@@ -58,12 +61,17 @@ def build_warehouse(spark: SparkSession, database: str, location: str) -> None:
     for name in schemas.TABLES:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({schemas.ddl(name)}) USING parquet")
     for name, (columns, partitions) in ARCHIVE_TABLES.items():
-        # an overwrite replaces only the partitions it writes to
-        dynamic = "OPTIONS (partitionOverwriteMode 'dynamic') " if partitions else ""
-        split = f"{dynamic}PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
+        split = f"PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet {split}")
     for name, query in VIEWS.items():
-        spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS {query.format(db=database)}")
+        if not view_exists(spark, database, name):
+            spark.sql(f"CREATE VIEW {database}.{name} AS {query.format(db=database, committed='false')}")
+
+
+def refresh_candle_view(spark: SparkSession, database: str, committed: str) -> None:
+    """Let the candle view show the rows that a condition on ``candles`` selects."""
+    query = VIEWS["candles_explained"].format(db=database, committed=committed)
+    spark.sql(f"CREATE OR REPLACE VIEW {database}.candles_explained AS {query}")
 
 
 def purge_warehouse(spark: SparkSession, database: str) -> None:
