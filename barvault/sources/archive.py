@@ -1,6 +1,6 @@
 """The candle archive: one partitioned table for all series, its registry, its log, and the manifest that rules them.
 
-``candles`` is partitioned by asset class, interval, month (``period``) and batch, and range-sorted by series and time: a
+``candles`` is partitioned by batch, asset class, interval and month (``period``), and range-sorted by series and time: a
 date predicate prunes partitions and a series predicate skips row groups. ``series_log`` gains one small row per series
 and append; it tells the last ID and latest time of a series without reading the candles. Next to the tables, folders
 hold one summary row per series and month (``months``), candles that were set aside, and rejected values.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -226,9 +227,21 @@ class CandleArchive:
         catalog.refresh_candle_view(self.spark, self.database, self.snapshot().condition())
         return True
 
-    def _insert(self, name: str, rows: DataFrame, batch: str) -> None:
-        rows = rows.withColumn("batch", F.lit(batch))
-        rows.select(*self._stored(name).columns).write.insertInto(self._table(name))
+    def _insert(self, name: str, rows: DataFrame, batch: str, by: Sequence[str] = ()) -> None:
+        """Write the rows of a batch into its own folder of a table, so that writers at the same time do not meet.
+
+        Its partitions are made known before the commit; until then they are there but do not count.
+        """
+        path = os.path.join(self.folder, name, f"batch={batch}")
+        columns = [c for c in self._stored(name).columns if c not in (*by, "batch")]
+        writer = rows.select(*by, *columns).write.mode("overwrite")
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+        places = rows.select(*[F.col(c).cast("string") for c in by]).distinct().collect() if by else [()]  # one row per partition
+        specs = [
+            ", ".join([f"batch = '{batch}'", *[f"{c} = '{v}'" for c, v in zip(by, place, strict=True)]]) for place in places
+        ]
+        parts = " ".join(f"PARTITION ({spec})" for spec in specs)
+        self.spark.sql(f"ALTER TABLE {self._table(name)} ADD IF NOT EXISTS {parts}")
 
     @staticmethod
     def _tried(write) -> None:
@@ -333,7 +346,7 @@ class CandleArchive:
         layout = [*PARTITION, "series_key", "datetime"]
         rows = candles.withColumn("period", period_of(F.col("datetime")))
         # a range shuffle keeps a busy month or series spread over tasks and gives each file a narrow key range
-        self._insert("candles", rows.repartitionByRange(*layout).sortWithinPartitions(*layout), batch)
+        self._insert("candles", rows.repartitionByRange(*layout).sortWithinPartitions(*layout), batch, PARTITION)
 
     @staticmethod
     def _months_of(candles: DataFrame, whole: Column) -> DataFrame:

@@ -49,9 +49,9 @@ VIEWS = {
 }
 
 ARCHIVE_TABLES = {
-    "candles": (f"{schemas.CANDLES}, period date, batch string", ("asset_class", "time_interval", "period", "batch")),
-    "series_registry": (f"{schemas.REGISTRY}, batch string", ()),
-    "series_log": (f"{schemas.REGISTRY}, last_id bigint, latest timestamp_ntz, batch string", ()),
+    "candles": (f"{schemas.CANDLES}, period date, batch string", ("batch", "asset_class", "time_interval", "period")),
+    "series_registry": (f"{schemas.REGISTRY}, batch string", ("batch",)),
+    "series_log": (f"{schemas.REGISTRY}, last_id bigint, latest timestamp_ntz, batch string", ("batch",)),
 }
 
 
@@ -61,7 +61,7 @@ def build_warehouse(spark: SparkSession, database: str, location: str) -> None:
     for name in schemas.TABLES:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({schemas.ddl(name)}) USING parquet")
     for name, (columns, partitions) in ARCHIVE_TABLES.items():
-        split = f"PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
+        split = f"PARTITIONED BY ({', '.join(partitions)})"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet {split}")
     for name, query in VIEWS.items():
         if not view_exists(spark, database, name):
