@@ -123,28 +123,29 @@ def _runs(owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class _Bundle:
-    """Carriers whose suffixes are sorted together: rows (bucket, fold, at, n, known, data)."""
+    """Texts whose suffixes are sorted together: rows (bucket, fold, n, known, data)."""
 
     def __init__(self, length: int):
         self.length = length
         self.clear()
 
     def clear(self) -> None:
-        self.met: set[tuple[bytes, int]] = set()
+        self.met: set[bytes] = set()
         self.rows: list[tuple] = []
         self.suffixes = 0
 
-    def add(self, bucket: int, fold: bytes, at: int, n: int, known: bool, data: bytes) -> None:
-        if (fold, at) not in self.met:
-            self.met.add((fold, at))
-            self.rows.append((bucket, fold, at, n, known, data))
+    def add(self, bucket: int, fold: bytes, n: int, known: bool, data: bytes) -> None:
+        if fold not in self.met:
+            self.met.add(fold)
+            self.rows.append((bucket, fold, n, known, data))
             self.suffixes += n
 
-    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of every suffix: row, offset, whether it repeats, and whether it is the first of its equals."""
-        text = b"".join(row[5] for row in self.rows)
-        sizes = np.array([len(row[5]) for row in self.rows])
-        counts = np.array([row[3] for row in self.rows])
+    def verdicts(self) -> pd.DataFrame:
+        """(fold, first, last): runs of positions in a text that repeat and were not known to."""
+        text = b"".join(row[4] for row in self.rows)
+        sizes = np.array([len(row[4]) for row in self.rows])
+        counts = np.array([row[2] for row in self.rows])
+        known = np.array([row[3] for row in self.rows], dtype=bool)
         row = np.repeat(np.arange(len(counts)), counts)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
         base = (np.cumsum(sizes) - sizes)[row]
@@ -152,56 +153,40 @@ class _Bundle:
         again = same | np.append(same[1:], False)
         # back from sorted positions to rows: positions rise with row and offset
         rank = np.searchsorted(base + offset, order)
-        return row[rank], offset[rank], again, ~same
-
-    def verdicts(self) -> pd.DataFrame:
-        """(fold, first, last): runs of positions in a carrier that repeat and were not known to."""
-        row, offset, again, _ = self.repeats()
-        known = np.array([r[4] for r in self.rows], dtype=bool)
-        wanted = again & ~known[row]
-        owner, first, last = _runs(row[wanted], offset[wanted])
-        shift = np.array([r[2] for r in self.rows], dtype=np.int64)
-        return pd.DataFrame(
-            {"fold": [self.rows[i][1] for i in owner], "first": first + shift[owner], "last": last + shift[owner]}
-        )
+        wanted = again & ~known[row[rank]]
+        owner, first, last = _runs(row[rank][wanted], offset[rank][wanted])
+        return pd.DataFrame({"fold": [self.rows[i][1] for i in owner], "first": first, "last": last})
 
 
-def _split_wide(wide: DataFrame, length: int) -> DataFrame:
-    """Single strings of the carriers of crowded anchors, sorted within the task.
+def _split(crowded: DataFrame, length: int, window: int) -> DataFrame:
+    """(mark, part, fold, at, n, known, data) for every longer anchor of the carriers (fold, n, known, data).
 
-    Rows (bucket, fold, at, n, known, data): strings that repeat in the task come with ``known`` set and, but for the
-    first of each, without text; these need not travel further.
+    A part is the text of the positions of one anchor, as a carrier is of a text; ``at`` is where it starts in its carrier.
+    A carrier of m positions has some 2 * m / ``window`` parts, however many carriers there are.
     """
 
     def split(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bundle = _Bundle(length)
-
-        def rows() -> pd.DataFrame:
-            out = []
-            for r, offset, again, first in zip(*bundle.repeats(), strict=True):
-                _, fold, at, _, known, data = bundle.rows[r]
-                text = data[offset : offset + length]
-                bucket = xxhash.xxh64_intdigest(text) - (1 << 63)
-                # a carrier known as a whole needs no verdict, only its strings are met by others
-                out.append((bucket, fold, int(at + offset), 1, bool(known or again), text if first else None))
-            bundle.clear()
-            return pd.DataFrame(out, columns=["bucket", "fold", "at", "n", "known", "data"])
-
+        seen: set[bytes] = set()
         for batch in batches:
-            for fold, n, copies, data in batch.itertuples(index=False):
-                bundle.add(0, fold, 0, n, copies > 1, data)
-                if bundle.suffixes >= CHUNK // 4:
-                    yield rows()
-        if bundle.rows:
-            yield rows()
+            rows = []
+            for fold, known, data in batch.itertuples(index=False):
+                for marks, starts, counts in anchors(data, length, window):
+                    for mark, start, count in zip(marks.tolist(), starts.tolist(), counts.tolist(), strict=True):
+                        text = data[start : start + count + length - 1]
+                        part = xxhash.xxh3_128_digest(text)
+                        rows.append((mark, part, fold, start, count, known, None if part in seen else text))
+                        seen.add(part)
+                if len(seen) > SEEN:
+                    seen.clear()
+            yield pd.DataFrame(rows, columns=["mark", "part", "fold", "at", "n", "known", "data"])
 
-    return wide.select("fold", "n", "copies", "data").mapInPandas(
-        split, "bucket bigint, fold binary, at bigint, n int, known boolean, data binary"
+    return crowded.select("fold", "known", "data").mapInPandas(
+        split, "mark bigint, part binary, fold binary, at bigint, n int, known boolean, data binary"
     )
 
 
 def _sorted_verdicts(rows: DataFrame, length: int) -> DataFrame:
-    """(fold, first, last) for the rows (bucket, fold, at, n, known, data): equal strings have equal buckets.
+    """(fold, first, last) for the rows (bucket, fold, n, known, data): equal strings have equal buckets.
 
     Buckets are dealt by hash and stream by in sorted order, some at a time, so memory does not depend on a task's share.
     """
@@ -218,10 +203,67 @@ def _sorted_verdicts(rows: DataFrame, length: int) -> DataFrame:
         if bundle.rows:
             yield bundle.verdicts()
 
-    dealt = rows.select("bucket", "fold", "at", "n", "known", "data").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = rows.select("bucket", "fold", "n", "known", "data").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInPandas(judge, "fold binary, first bigint, last bigint")
 
 
+def _meeting(texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(mark, fold, n, known, kinds, data): the texts that must be compared with others of their anchor.
+
+    ``kinds`` has a row (mark, fold, known) per different text. Which ones meet is found without the texts; these are
+    attached at the end, in one shuffle.
+    """
+    crowds = kinds.groupBy("mark").agg(F.count(F.lit(1)).alias("kinds"), F.min("known").alias("_all_known"))
+    crowds = crowds.where("kinds > 1 AND NOT _all_known").select("mark", "kinds")
+    wanted = join_unique(kinds, crowds, ["mark"], "inner").select("fold", "known", "kinds")
+    held = texts.where("data IS NOT NULL").select("mark", "fold", "n", "data")
+    return materialise(join_unique(held, wanted, ["fold"], "inner"))
+
+
+def _partial_repeats(held: DataFrame, length: int, window: int) -> DataFrame:
+    """(fold, first, last): runs of positions that repeat in the texts of ``_meeting``, but for those known as a whole.
+
+    The texts of an anchor are sorted together. Those of a crowded one are split by longer anchors first.
+    """
+    own = [F.col("mark").alias("bucket"), "fold", "n", "known", "data"]
+    if window == 1:
+        return _sorted_verdicts(held.select(*own), length)
+    found = _sorted_verdicts(held.where(F.col("kinds") <= WIDE).select(*own), length)
+    # a task hands on a text once, so several of them may have handed on the same one
+    wide = held.where(F.col("kinds") > WIDE).dropDuplicates(["fold"])
+    if wide.isEmpty():
+        return found
+    longer = max(1, window // 4)
+    pieces = materialise(_split(wide, length, longer))
+    parts = pieces.groupBy("mark", F.col("part").alias("fold"), "n").agg(
+        F.count(F.lit(1)).alias("times"), F.max("known").alias("known")
+    )
+    parts = materialise(parts.withColumn("known", F.col("known") | (F.col("times") > 1)))
+    texts = pieces.select("mark", F.col("part").alias("fold"), "n", "data")
+    inner = _partial_repeats(_meeting(texts, parts.select("mark", "fold", "known")), length, longer)
+    places = pieces.where("NOT known").select(F.col("part").alias("fold"), F.col("fold").alias("_carrier"), "at")
+    runs = _with_runs(places, inner.union(_whole(parts)))
+    return found.union(
+        runs.select(
+            F.col("_carrier").alias("fold"),
+            (F.col("at") + F.col("run.first")).alias("first"),
+            (F.col("at") + F.col("run.last")).alias("last"),
+        )
+    )
+
+
+def _whole(kinds: DataFrame) -> DataFrame:
+    """(fold, first, last) of the texts that are in more than one place."""
+    zero = F.lit(0).cast("bigint")
+    return kinds.where("times > 1").select("fold", zero.alias("first"), (F.col("n") - 1).cast("bigint").alias("last"))
+
+
+def _with_runs(places: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``places`` of texts with each ``run`` (first, last) that repeats in their text."""
+    grouped = verdicts.groupBy("fold").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    return join_unique(places, grouped, ["fold"], "inner").withColumn("run", F.explode("runs")).drop("runs")
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """(ref, tag, spans) for the texts (ref, tag, data) that hold repeats; a span is start * 2**16 + length, spans
     overlap and together cover every byte that repeats."""
@@ -229,24 +271,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, window: int = WINDOW)
     often = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark")
     members = materialise(carriers(texts, join_unique(marks, often, ["mark"], "inner"), length))
 
-    folds = materialise(members.groupBy("fold", "mark", "n").agg(F.count(F.lit(1)).alias("copies")))
-    crowds = folds.groupBy("mark").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest"))
-    crowds = crowds.where("kinds > 1 AND fewest = 1").select("mark", "kinds")
-    held = members.where("data IS NOT NULL").select("mark", "fold", "n", "data")
-    held = join_unique(held, crowds, ["mark"], "inner")
-    held = materialise(join_unique(held, folds.select("fold", "copies"), ["fold"], "inner"))
+    folds = materialise(members.groupBy("fold", "mark", "n").agg(F.count(F.lit(1)).alias("times")))
+    kinds = folds.select("mark", "fold", (F.col("times") > 1).alias("known"))
+    found = _partial_repeats(_meeting(members, kinds), length, window)
 
-    narrow = held.where(F.col("kinds") <= WIDE).select(
-        F.col("mark").alias("bucket"), "fold", F.lit(0).cast("bigint").alias("at"), "n", (F.col("copies") > 1).alias("known"), "data"
-    )
-    wide = materialise(_split_wide(held.where(F.col("kinds") > WIDE), length))
-    found = _sorted_verdicts(narrow.union(wide.where("data IS NOT NULL").select(*narrow.columns)), length)
-    local = wide.where("known").select("fold", F.col("at").alias("first"), F.col("at").alias("last"))
-    whole = folds.where("copies > 1").select("fold", F.lit(0).cast("bigint").alias("first"), (F.col("n") - 1).cast("bigint").alias("last"))
-    verdicts = found.union(local).union(whole).groupBy("fold").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-
-    placed = join_unique(members.select("fold", "ref", "tag", "start"), verdicts, ["fold"], "inner")
-    spans = placed.select("ref", "tag", F.explode("runs").alias("run"), "start").select(
+    runs = _with_runs(members.select("fold", "ref", "tag", "start"), found.union(_whole(folds)))
+    spans = runs.select(
         "ref", "tag", ((F.col("start") + F.col("run.first")) * _SPAN + F.col("run.last") - F.col("run.first") + length).alias("span")
     )
     return spans.groupBy("ref", "tag").agg(F.collect_set("span").alias("spans"))

@@ -97,6 +97,36 @@ def test_against_plain_loops(spark, monkeypatch, wide):
     assert found(documents(spark, rows), 40, 16) == plain(rows, 40)
 
 
+def near_copies(count, seed=3):
+    """Texts around one passage, each with letters of its own in it: one crowded anchor after another."""
+    r = random.Random(seed)
+    passage = [r.choice("abcdefghij ") for _ in range(300)]
+    texts = []
+    for i in range(count):
+        own = list(passage)
+        for at in r.sample(range(300), 3):
+            own[at] = r.choice("XYZ")
+        texts.append("".join(own) + f" number {i}")
+    return texts
+
+
+@pytest.mark.parametrize("wide", [3, 20])
+def test_crowded_anchors_against_plain_loops(spark, monkeypatch, wide):
+    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+    rows = list(enumerate(near_copies(60) + ["ab" * 90, "ab" * 91 + "c", "tail " + near_copies(1)[0]]))
+    assert found(documents(spark, rows), 100, 60) == plain(rows, 100)
+
+
+def test_rows_of_a_split_grow_with_the_carriers(spark):
+    """Twice the near copies make twice the parts, not four times as many, and a few for each carrier."""
+    shares = []
+    for count in (50, 100, 200, 400):
+        carriers = [(bytes([i % 256, i // 256]), False, t.encode()) for i, t in enumerate(near_copies(count))]
+        df = spark.createDataFrame(carriers, "fold binary, known boolean, data binary")
+        shares.append(suffix_dedup._split(df, 200, 30).count() / count)
+    assert max(shares) < 1.1 * min(shares) and max(shares) < 2 * 110 / 30 + 5
+
+
 def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 64)
     rows = list(enumerate(random_texts(8, 40, 60, 60)))
