@@ -115,6 +115,8 @@ def carriers(texts: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
 
 def _runs(owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, first and last of the runs of successive offsets of one owner."""
+    if not len(owner):
+        return owner, offset, offset
     order = np.lexsort((offset, owner))
     owner, offset = owner[order], offset[order]
     first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)])

@@ -117,6 +117,14 @@ def test_crowded_anchors_against_plain_loops(spark, monkeypatch, wide):
     assert found(documents(spark, rows), 100, 60) == plain(rows, 100)
 
 
+def test_a_bundle_without_news():
+    bundle = suffix_dedup._Bundle(8)
+    bundle.add(1, b"a", 3, False, b"0123456789")
+    assert len(bundle.verdicts()) == 0
+    bundle.add(1, b"b", 3, True, b"x123456789")
+    assert bundle.verdicts().values.tolist() == [[b"a", 1, 2]]
+
+
 def test_rows_of_a_split_grow_with_the_carriers(spark):
     """Twice the near copies make twice the parts, not four times as many, and a few for each carrier."""
     shares = []
