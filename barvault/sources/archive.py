@@ -38,7 +38,7 @@ LATE, UNREGISTERED = "late", "unregistered"
 
 _VALUES = tuple(c for c in COLUMNS if c != "ID")
 _SET_ASIDE = f"{schemas.CANDLES.replace('ID bigint, ', '')}, reason string"
-_REJECTS = "source_file string, value_pos int, time_interval string, series_key string, field string, value string, problem string"
+_REJECTS = "source_file string, page string, value_pos int, time_interval string, series_key string, field string, value string, problem string"
 _MONTHS = (
     f"{schemas.REGISTRY}, period date, rows bigint, first_id bigint, last_id bigint, earliest timestamp_ntz, "
     f"latest timestamp_ntz, high {schemas.PRICE}, low {schemas.PRICE}, volume bigint, last_open {schemas.PRICE}, "
@@ -208,7 +208,7 @@ class CandleArchive:
         return rows.groupBy(*_VALUES, "reason").agg(F.count(F.lit(1)).alias("times"))
 
     def rejects(self, base: Snapshot | None = None) -> DataFrame:
-        """Rejected values of all loads, each once."""
+        """Rejected values of all loads, each place of a page once, however often the page was loaded."""
         base = base or self.snapshot()
         return self._side("rejects", _REJECTS, base, "rejects").drop("batch").distinct()
 

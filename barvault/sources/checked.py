@@ -167,5 +167,5 @@ def good(judged: DataFrame) -> DataFrame:
 
 def rejected(judged: DataFrame) -> DataFrame:
     """One row per bad value: where it stood, the series it was meant for, the field, its text and what is wrong."""
-    place = [c for c in ("source_file", "value_pos", "time_interval", "series_key") if c in judged.columns]
+    place = [c for c in ("source_file", "page", "value_pos", "time_interval", "series_key") if c in judged.columns]
     return judged.select(*place, F.explode("problems").alias("_p")).select(*place, "_p.field", "_p.value", "_p.problem")
