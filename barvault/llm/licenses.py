@@ -22,17 +22,19 @@ NAMES: dict[str, tuple[str, ...]] = {
     "BSD-3-Clause": ("the 3-clause bsd license", "the new bsd license", "bsd-3-clause"),
     "GPL-2.0": ("the gnu general public license, version 2", "the gnu general public license version 2", "gpl-2.0"),
     "GPL-3.0": ("the gnu general public license, version 3", "the gnu general public license version 3", "gpl-3.0"),
+    "LGPL-2.1": ("the gnu lesser general public license, version 2.1", "lgpl-2.1"),
     "LGPL-3.0": ("the gnu lesser general public license, version 3", "lgpl-3.0"),
     "AGPL-3.0": ("the gnu affero general public license, version 3", "agpl-3.0"),
     "MPL-2.0": ("the mozilla public license, version 2.0", "the mozilla public license, v. 2.0", "mpl-2.0"),
-    "Unlicense": ("the unlicense",),
-    "CC0-1.0": ("cc0 1.0", "cc0 1.0 universal"),
-    "CC-BY-4.0": ("cc by 4.0", "a creative commons attribution 4.0 international license"),
-    "CC-BY-SA-4.0": ("cc by-sa 4.0", "a creative commons attribution-sharealike 4.0 international license"),
-    "CC-BY-NC-4.0": ("cc by-nc 4.0", "a creative commons attribution-noncommercial 4.0 international license"),
-    "CC-BY-ND-4.0": ("cc by-nd 4.0", "a creative commons attribution-noderivatives 4.0 international license"),
-    "CC-BY-NC-SA-4.0": ("cc by-nc-sa 4.0",),
-    "CC-BY-NC-ND-4.0": ("cc by-nc-nd 4.0",),
+    "Unlicense": ("the unlicense", "unlicense"),
+    "Zlib": ("the zlib license", "zlib"),
+    "CC0-1.0": ("cc0 1.0", "cc0 1.0 universal", "cc0-1.0"),
+    "CC-BY-4.0": ("cc by 4.0", "cc-by-4.0", "a creative commons attribution 4.0 international license"),
+    "CC-BY-SA-4.0": ("cc by-sa 4.0", "cc-by-sa-4.0", "a creative commons attribution-sharealike 4.0 international license"),
+    "CC-BY-NC-4.0": ("cc by-nc 4.0", "cc-by-nc-4.0", "a creative commons attribution-noncommercial 4.0 international license"),
+    "CC-BY-ND-4.0": ("cc by-nd 4.0", "cc-by-nd-4.0", "a creative commons attribution-noderivatives 4.0 international license"),
+    "CC-BY-NC-SA-4.0": ("cc by-nc-sa 4.0", "cc-by-nc-sa-4.0"),
+    "CC-BY-NC-ND-4.0": ("cc by-nc-nd 4.0", "cc-by-nc-nd-4.0"),
 }
 
 # Ways to state them; each makes a sentence with each name.
@@ -41,7 +43,8 @@ STATEMENTS = (
     "this work is licensed under {}", "this file is licensed under {}", "this project is licensed under {}",
     "this software is licensed under {}", "this program is licensed under {}",
     "this software is released under {}", "this project is released under {}",
-    "spdx license identifier {}",
+    "spdx-license-identifier: {}", "license: {}", "licence: {}", "this project is {} licensed",
+    "this software is {} licensed", "this project uses {}",
 )
 
 # Sentences of licence texts and notices, by identifier.
@@ -54,10 +57,16 @@ TEXTS: dict[str, str] = {
     "portions of the Software.",
     "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
     "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
     "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS "
     "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "isc-liability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR "
+    "ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR "
+    "OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
     "that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
@@ -66,27 +75,77 @@ TEXTS: dict[str, str] = {
     "the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
     "promote products derived from this software without specific prior written permission.",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+    "PURPOSE ARE DISCLAIMED.",
+    "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, "
+    "and to alter it and redistribute it freely, subject to the following restrictions:",
     "apache-grant": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
     "compliance with the License.",
     "apache-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-basis": "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+    "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "apache-see": "See the License for the specific language governing permissions and limitations under the License.",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
     "any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
     "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+    "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) "
+    "any later version.",
+    "lgpl-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+    "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+    "option) any later version.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+    "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+    "option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+    "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+    "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+    "option) any later version.",
+    "cc0-dedication": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring "
+    "rights to this software to the public domain worldwide.",
+    "cc0-warranty": "This software is distributed without any warranty.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "mpl-source": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+    "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
 # Rules beyond single statements: a licence and the sentences that have to follow each other.
+# A licence has several where a notice or a text is often given in part; the longest one that is met counts.
 SEQUENCES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
+    ("ISC", ("isc-grant", "isc-warranty", "isc-liability")),
     ("ISC", ("isc-grant", "isc-warranty")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty", "bsd-liability")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liability")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("Zlib", ("zlib-warranty", "zlib-liability", "zlib-grant")),
+    ("Apache-2.0", ("apache-grant", "apache-copy", "apache-basis", "apache-see")),
     ("Apache-2.0", ("apache-grant", "apache-copy")),
+    ("GPL-2.0", ("gpl2-free", "gpl-hope")),
     ("GPL-3.0", ("gpl-free", "gpl-hope")),
+    ("LGPL-2.1", ("lgpl21-free", "lgpl-hope")),
+    ("LGPL-3.0", ("lgpl-free", "lgpl-hope")),
+    ("AGPL-3.0", ("agpl-free", "gpl-hope")),
+    ("CC0-1.0", ("cc0-dedication", "cc0-warranty")),
+    ("CC0-1.0", ("cc0-dedication",)),
+    ("MPL-2.0", ("mpl-source", "mpl-copy")),
     ("MPL-2.0", ("mpl-source",)),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
     ("Unlicense", ("unlicense-free",)),
 )
 
@@ -119,6 +178,13 @@ def known_sentences() -> dict[str, str]:
     return known
 
 
+def known_pieces() -> list[tuple[tuple[str, ...], str]]:
+    """(normalised pieces, identifier) of all known sentences, cut at their own stops and whole."""
+    known = known_sentences()
+    cut = {tuple(map(normal_form, re.sub(SENTENCE_END, r"\1\n", text).split("\n"))): known[normal_form(text)] for text in known_texts()}
+    return sorted((cut | {(sentence,): name for sentence, name in known.items()}).items())
+
+
 def rules() -> list[tuple[str, tuple[str, ...]]]:
     """(licence, sentence identifiers in order): longer rules first, so that they can replace shorter ones."""
     stated = [(licence, (f"is:{licence}",)) for licence in NAMES]

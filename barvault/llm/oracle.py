@@ -97,11 +97,12 @@ SELECT doc_id, coalesce(len(ws), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coa
 FROM documents LEFT JOIN doc_lists USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_KNOWN = ", ".join(f"('{text}', '{name}')" for text, name in sorted(licenses.known_sentences().items()))
+# known sentences cut like documents, and whole ones, as lists of pieces
+_KNOWN = ", ".join(f"({list(pieces)}, '{name}')" for pieces, name in licenses.known_pieces())
 _RULES = ", ".join(f"('{licence}', {list(ids)})" for licence, ids in licenses.rules())
 
 OP8 = rf"""
-WITH known(sentence, sentence_id) AS (VALUES {_KNOWN}),
+WITH known(parts, sentence_id) AS (VALUES {_KNOWN}),
 rules(licence, ids) AS (VALUES {_RULES}),
 cut AS (
     SELECT doc_id, string_split(regexp_replace(
@@ -110,18 +111,22 @@ cut AS (
     FROM documents
 ),
 normal AS (
-    SELECT doc_id, pos, trim(regexp_replace(parts[pos], '[^a-z0-9]+', ' ', 'g')) AS sentence
-    FROM cut, unnest(range(1, len(parts) + 1)) AS u(pos)
+    SELECT doc_id, list_transform(parts, lambda p: trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g'))) AS sentences FROM cut
 ),
+placed AS (SELECT doc_id, sentences, unnest(range(1, len(sentences) + 1)) AS pos FROM normal),
 found AS (
-    SELECT doc_id, list(sentence_id ORDER BY pos) AS ids, list(pos ORDER BY pos) AS places
-    FROM normal JOIN known USING (sentence) GROUP BY doc_id
+    SELECT doc_id, list(sentence_id ORDER BY pos) AS ids, list(pos ORDER BY pos) AS places,
+           list(pos + len(parts) - 1 ORDER BY pos) AS lasts
+    FROM placed JOIN known ON sentences[pos] = parts[1] AND sentences[pos:pos + len(parts) - 1] = parts
+    GROUP BY doc_id
 ),
 matches AS (
     SELECT doc_id, i, licence
-    FROM (SELECT doc_id, ids, places, unnest(range(1, len(ids) + 1)) AS i FROM found) f, rules r
+    FROM (SELECT doc_id, ids, places, lasts, unnest(range(1, len(ids) + 1)) AS i FROM found) f, rules r
     WHERE f.ids[i:i + len(r.ids) - 1] = r.ids
-      AND places[i + len(r.ids) - 1] - places[i] <= (len(r.ids) - 1) * ({licenses.GAP} + 1)
+      AND lasts[i + len(r.ids) - 1] - places[i]
+          - list_sum(list_transform(range(i, i + len(r.ids)), lambda k: lasts[k] - places[k]))
+          <= (len(r.ids) - 1) * ({licenses.GAP} + 1)
     QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY len(r.ids) DESC, licence, r.ids) = 1
 ),
 listed AS (

@@ -25,7 +25,11 @@ def found(docs, **options):
         ("Licensed under CC BY-NC 4.0.", (1, ["CC-BY-NC-4.0"], 1)),
         ("Words. This work is licensed under the GNU General Public License, version 3.\nMore.", (1, ["GPL-3.0"], 1)),
         ("RELEASED  under\tthe MIT License.  Licensed under the Apache License, Version 2.0", (2, ["Apache-2.0", "MIT"], 2)),
-        ("SPDX-License-Identifier: MPL-2.0", (0, [], 0)),
+        ("SPDX-License-Identifier: MPL-2.0", (1, ["MPL-2.0"], 1)),
+        ("// SPDX-License-Identifier: Apache-2.0\n", (1, ["Apache-2.0"], 1)),
+        ("License: MIT", (1, ["MIT"], 1)),
+        ("This project is MIT licensed.", (1, ["MIT"], 1)),
+        ("SPDX-License-Identifier. MPL-2.0 and more", (0, [], 0)),
         ("SPDX License Identifier MPL-2.0", (1, ["MPL-2.0"], 1)),
         ("Copyright (c) someone\n\n" + MIT, (3, ["MIT"], 1)),
         (MIT.replace("\n", " "), (3, ["MIT"], 1)),
@@ -64,7 +68,7 @@ def test_awkward_rows_and_clashing_names(spark):
 def test_every_rule_is_met_by_its_own_punctuated_texts(spark):
     rows = [(i, text_of(*ids, between="  ")) for i, (_, ids) in enumerate(licenses.SEQUENCES)]
     expected = [(i, len(ids), [licence], 1) for i, (licence, ids) in enumerate(licenses.SEQUENCES)]
-    assert found(documents(spark, rows)) == expected
+    assert found(documents(spark, rows)) == sorted(expected, key=str)
 
 
 def test_statements_with_stops_are_known(spark):
@@ -140,6 +144,11 @@ def test_notices_as_they_are_printed(spark):
     assert found(documents(spark, rows)) == sorted(((k, *names[k % 10]) for k, _ in rows), key=str)
 
 
+def test_every_licence_is_found_by_its_tag(spark):
+    rows = [(i, f"/* SPDX-License-Identifier: {name} */") for i, name in enumerate(licenses.NAMES)]
+    assert [r[2] for r in sorted(found(documents(spark, rows)), key=lambda r: r[0])] == [[name] for name in licenses.NAMES]
+
+
 def test_pieces_of_matches(spark):
     text = "One.\nThis Source Code Form is subject\nto the terms of the Mozilla Public License, v. 2.0.\nEnd."
     row = licenses.scan_licenses(documents(spark, [(1, text)])).first()
