@@ -66,7 +66,8 @@ def test_awkward_rows_and_clashing_names(spark):
 
 
 def test_every_rule_is_met_by_its_own_punctuated_texts(spark):
-    rows = [(i, text_of(*ids, between="  ")) for i, (_, ids) in enumerate(licenses.SEQUENCES)]
+    # a text without a closing stop, such as an address, ends with its line
+    rows = [(i, text_of(*ids, between="  ").replace("LICENSE-2.0  ", "LICENSE-2.0\n")) for i, (_, ids) in enumerate(licenses.SEQUENCES)]
     expected = [(i, len(ids), [licence], 1) for i, (licence, ids) in enumerate(licenses.SEQUENCES)]
     assert found(documents(spark, rows)) == sorted(expected, key=str)
 
