@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from barvault.errors import DataNotPresent, DataUncertain
 from barvault.operators import segments
-from barvault.operators.asof import bracket, closest_id
+from barvault.operators.asof import bracket
 from barvault.operators.joins import join_unique
 
 # Rows per block of the positional fetch: a join key never gathers more rows of a series than this.
@@ -116,10 +118,15 @@ def fetch_positions(
 
 
 # --- date arguments --------------------------------------------------------------------------------------------
-def check_arguments(start, end, span, n) -> None:
-    """Two of start, end and (span or n) are needed; an empty span or a zero count is as good as missing."""
-    if [bool(start), bool(end), bool(span) or bool(n)].count(False) > 1:
+def one_request(spark: SparkSession, start, end, span, n) -> Row:
+    """A single request completed as ``complete_requests`` completes a table of them; an error for bad arguments."""
+    given = spark.createDataFrame(
+        [(start, end, span, n)], "start timestamp_ntz, end timestamp_ntz, span interval day to second, n int"
+    )
+    request = complete_requests(given).first()
+    if request.status != "ok":
         raise LookupError("give two dates, or one date with a time span or a number of candles")
+    return request
 
 
 def complete_requests(requests: DataFrame) -> DataFrame:
@@ -211,19 +218,14 @@ def fetch_series_by_dates(
     trading_time_span: int | None = None,
 ) -> DataFrame:
     """One request on one series: the dates are plain predicates that reach the scan, the count is a limit."""
-    check_arguments(start_date, end_date, time_span, trading_time_span)
-    if start_date and time_span and end_date is None:
-        end_date = start_date + time_span
-    elif end_date and time_span and start_date is None:
-        start_date = end_date - time_span
-    rows = series
-    if start_date:
-        rows = rows.where(F.col("datetime") >= F.lit(start_date).cast("timestamp_ntz"))
-    if end_date:
-        rows = rows.where(F.col("datetime") <= F.lit(end_date).cast("timestamp_ntz"))
-    if trading_time_span:
-        order = ["datetime", "ID"] if start_date else [F.desc("datetime"), F.desc("ID")]
-        rows = rows.orderBy(*order).limit(trading_time_span)
+    request = one_request(series.sparkSession, start_date, end_date, time_span, trading_time_span)
+    time = F.col("datetime")
+    bounds = [time >= F.lit(request.start).cast("timestamp_ntz")] if request.start else []
+    bounds += [time <= F.lit(request.end).cast("timestamp_ntz")] if request.end else []
+    rows = series.where(reduce(and_, bounds))
+    if request.n:
+        # counted from the start where there is one, else back from the end
+        rows = rows.orderBy(*(["datetime", "ID"] if request.start else [F.desc("datetime"), F.desc("ID")])).limit(request.n)
     return rows.orderBy("ID")
 
 
@@ -235,15 +237,13 @@ def series_id_bracket(
     trading_time_span: int | None = None,
 ) -> tuple[int, int]:
     """Strict form of :func:`id_bracket` for one request on one series."""
-    check_arguments(start_date, end_date, time_span, trading_time_span)
-    if start_date and time_span and end_date is None:
-        end_date = start_date + time_span
-    elif end_date and time_span and start_date is None:
-        start_date = end_date - time_span
-    low = closest_id(series, start_date, ">=") if start_date else None
-    high = closest_id(series, end_date, "<=") if end_date else None
-    if high is None:
-        high = low + trading_time_span - 1
-    if low is None:
-        low = high - trading_time_span + 1
-    return max(low, 0), high
+    spark = series.sparkSession
+    request = one_request(spark, start_date, end_date, time_span, trading_time_span)
+    asked = spark.createDataFrame(
+        [(0, 0, request.start, request.end, request.n)],
+        "req_id int, _series int, start timestamp_ntz, end timestamp_ntz, n int",
+    )
+    found = id_bracket(asked, series.withColumn("_series", F.lit(0)), "1min", ["_series"]).first()
+    if found.status != "ok":
+        raise DataNotPresent("no candle on the asked side of a date")
+    return found.earliest_id, found.latest_id
