@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from barvault.plans.oracle import _ROW, MID, NAMED, _landed, bars, candles
+from barvault.plans.oracle import _ROW, MID, NAMED, ORACLE, _landed, bars, candles
+
+__all__ = ["ORACLE"]
 
 _DAMAGED = f"""{_landed('1min')},
 raw AS (
@@ -28,7 +30,7 @@ SELECT asset_class, time_interval, series_key, count(*) AS rows, min("ID") AS fi
        max(volume) AS volume, arg_max(open, "ID") AS last_open, arg_max(close, "ID") AS last_close
 FROM kept GROUP BY 1, 2, 3"""
 
-ORACLE: dict[str, str] = {
+ORACLE |= {
     "s5_page_rejects": _REJECTS,
     "s5_stored_rejects": _REJECTS,
     "s5_quarantined_load": f"""{_DAMAGED}
