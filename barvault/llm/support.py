@@ -37,15 +37,31 @@ def indices(count: Column) -> Column:
     return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def row_key(*columns: str) -> Column:
-    """128 bits that stand for the values of a row: equal rows, and only these, share it."""
-    flags = [F.col(c).isNull() for c in columns]
-    values = [F.col(c) for c in columns]
+def row_key(*columns: str | Column) -> Column:
+    """128 bits that stand for the values of a row: equal rows, and only these, share it.
+
+    Columns are names, with dots in them or not, or expressions; ``values_of`` gives those of all columns of a table.
+    """
+    values = [F.col(quoted(c)) if isinstance(c, str) else c for c in columns]
+    flags = [value.isNull() for value in values]
     return F.struct(
         F.xxhash64(*flags, *values).alias("a"), F.xxhash64(F.lit(1), *flags, *reversed(values)).alias("b")
     )
 
 
+def quoted(name: str) -> str:
+    """A column name that is taken as it is, dots included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def values_of(df: DataFrame) -> list[Column]:
+    """All columns in a form that can be hashed: maps, also inside of others, as JSON text."""
+    return [
+        F.to_json(F.struct(F.col(quoted(name)).alias("v"))) if "map<" in kind else F.col(quoted(name))
+        for name, kind in df.dtypes
+    ]
+
+
 def uniform(seed: int, *columns: str) -> Column:
     """A number in (0, 1) that depends on the seed and the values only."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11)

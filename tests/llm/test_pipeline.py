@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from __spark_entry__ import oracle_sql, queries
@@ -188,3 +189,17 @@ def test_equals_sql(spark, name):
     assert {c: SAME_TYPE.get(t, t.upper()) for c, t in df.dtypes} == types
     rows = sorted_rows(df.collect(), df.columns)
     assert rows and rows == sorted_rows(found.fetchall(), names)
+
+
+@needs_tables
+@pytest.mark.parametrize("stage", [stage for _, stage in pipeline.STAGES])
+def test_stages_take_dotted_names_and_maps(spark, stage):
+    rows = [(i, f"{text} {i}") for i, text in enumerate(random_texts(12, 12))] + [(3, "twice here"), (3, "twice here")]
+    docs = documents(spark, rows).withColumns(
+        {"a.b": F.col("doc_id") + 1, "facts": F.create_map(F.lit("k"), F.col("source")), "deep": F.struct(F.create_map(F.lit(1), F.col("text")).alias("m.n"))}
+    )
+    out = stage(spark, docs, SF_DIR)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    kept = out.select("doc_id", "text", F.col("`a.b`").alias("ab"), "facts").collect()
+    assert kept and {(r.doc_id, r.text) for r in kept} <= set(rows)
+    assert all(r.ab == r.doc_id + 1 and r.facts == {"k": "src"} for r in kept)
