@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barvault.llm import decontaminate, mixing, quality, sharding, simhash
-from barvault.llm.support import free_name, row_key, table
+from barvault.llm.support import free_name, quoted, row_key, table, values_of
 from barvault.session import materialise
 
 KEY, TEXT, SOURCE = "doc_id", "text", "source"
@@ -25,11 +25,11 @@ ORACLE_SQL = None
 def _apply(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """``docs`` after decisions (row_id, rows, copies): of ``rows`` equal rows, ``copies`` go on."""
     own, base, fold = free_name(docs, "row_id"), free_name(docs, "copies"), free_name(docs, "fold")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.col(quoted(c)) for c in docs.columns]
     decided = decisions.where("copies > 0").select(F.col("row_id").alias(own), "rows", F.col("copies").alias(base))
     decided = materialise(decided)
     each = decided.select(own, F.floor(F.col(base) / F.col("rows")).cast("int").alias(base)).where(F.col(base) > 0)
-    marked = docs.withColumn(own, row_key(*docs.columns))
+    marked = docs.withColumn(own, row_key(*values_of(docs)))
     kept = marked.join(each, own).select(*columns, F.explode(F.array_repeat(F.lit(0), F.col(base))).alias(base))
     kept = kept.select(*columns)
     rest = decided.select(own, (F.col(base) % F.col("rows")).cast("int").alias(base)).where(F.col(base) > 0)
@@ -43,15 +43,22 @@ def _apply(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier selects."""
-    chosen = quality.resample(docs, table(spark, sf_dir, "labels"), KEY, TEXT, identity=docs.columns)
+    """Documents that the quality classifier selects.
+
+    Null and empty texts weigh as 1 does; ties of the ranking go by doc_id, null last; equal rows share their fate as far
+    as the number selected allows; without labels all stay. An empty table stays empty.
+    """
+    chosen = quality.resample(docs, table(spark, sf_dir, "labels"), KEY, TEXT, identity=values_of(docs))
     counts = chosen.groupBy("row_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("selected").alias("copies"))
     return _apply(docs, counts)
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near fingerprints: the one with the least doc_id."""
-    found = simhash.near_duplicates(docs, KEY, TEXT, identity=docs.columns)
+    """One document of each group of near fingerprints: the one with the least doc_id, null last.
+
+    Of equal rows one stays. Documents without words, null texts included, are one group. An empty table stays empty.
+    """
+    found = simhash.near_duplicates(docs, KEY, TEXT, identity=values_of(docs))
     sizes = found.groupBy("group", "row_id", KEY).agg(F.count(F.lit(1)).alias("rows"))
     first = F.struct(F.col(KEY).isNull().alias("unnamed"), KEY, "row_id", "rows")
     least = sizes.groupBy("group").agg(F.min(first).alias("first"))
@@ -59,22 +66,28 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no span with a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), KEY, TEXT, identity=docs.columns)
+    """Documents that share no span with a benchmark item; null and empty texts share none, equal rows go together.
+
+    Without benchmark items all stay. An empty table stays empty.
+    """
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), KEY, TEXT, identity=values_of(docs))
     counts = found.where("n_hit = 0").groupBy("row_id").agg(F.count(F.lit(1)).alias("rows"))
     return _apply(docs, counts.withColumn("copies", F.col("rows")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it; documents without words go."""
-    taken = mixing.mix_sources(docs, KEY, TEXT, SOURCE, identity=docs.columns).where("taken > 0")
+    """Each document as often as the mix of sources takes it; documents without words, null texts included, go.
+
+    Null sources are one source, ties among documents go by the operator's seeded order. An empty table stays empty.
+    """
+    taken = mixing.mix_sources(docs, KEY, TEXT, SOURCE, identity=values_of(docs)).where("taken > 0")
     counts = taken.groupBy("row_id").agg(F.sum(F.col("taken") / F.col("size")).cast("bigint").alias("copies"))
-    rows = docs.groupBy(row_key(*docs.columns).alias("row_id")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = docs.groupBy(row_key(*values_of(docs)).alias("row_id")).agg(F.count(F.lit(1)).alias("rows"))
     return _apply(docs, rows.join(counts, "row_id"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard; all copies of one share it."""
+    """Documents with their shard; all copies of one share it. A null doc_id is placed by its text."""
     return sharding.assign_shards(docs, KEY, TEXT)
 
 
