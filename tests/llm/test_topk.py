@@ -87,3 +87,48 @@ def test_reading_stops_early_on_long_tails():
     finally:
         topk._products = products
     assert sorted(scores) == sorted((rows @ np.array([2.0, 1.0, 3.0])))[-5:] and sum(scored) < 1000
+
+
+def test_many_rounds_of_blocks(spark):
+    rows = vectors(11, 300, 6) + [(0, [0.1] * 6)] * 40
+    assert found(spark, rows, block=8, query_block=3) == plain(rows, 5, 10)
+
+
+@pytest.mark.parametrize("tail", [0.7, 30.0])
+def test_a_floor_changes_nothing_but_the_work(tail):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    units = np.floor(r.pareto(tail, (3000, 4)) * 10 * tail).astype(np.int64)
+    units[r.random(units.shape) < 0.5] *= -1
+    block = topk.Block(list(range(3000)), units, 6)
+    queries = units[:40]
+    products = queries @ units.T
+    free = {i: (list(s), list(at)) for i, s, at in block.answers(queries, [None] * 40)}
+    for i, (scores, at) in free.items():
+        best = sorted(range(3000), key=lambda j: (-products[i, j], j))[:6]
+        assert at == best and scores == [products[i, j] for j in best]
+    floors = [int(free[i][0][i % 6]) for i in range(40)]
+    for i, scores, at in block.answers(queries, floors):
+        kept = [(s, j) for s, j in zip(*free[i]) if s >= floors[i]]
+        assert list(zip(scores, at)) == kept
+
+
+def test_rows_are_scored_about_once_where_the_bound_does_not_help():
+    import numpy as np
+
+    rows = np.floor(np.random.default_rng(3).normal(0, 60, (8192, 64)))
+    lists = np.argsort(rows.T, axis=1, kind="stable")
+    scored = []
+    products = topk._products
+    topk._products = lambda a, q, e: scored.append(len(a)) or products(a, q, e)
+    try:
+        scores, _ = topk.threshold_top(rows, np.arange(8192), lists, rows[0], 6, True)
+        first, floor = sum(scored), scores[-1]
+        topk.threshold_top(rows, np.arange(8192), lists, rows[0], 6, True, floor)
+    finally:
+        topk._products = products
+    assert list(scores) == sorted(rows @ rows[0], reverse=True)[:6]
+    # the first entries of 64 lists, two bounds, then all rows at once
+    read = 64 * topk.FIRST_DEPTH + 2
+    assert first <= 8192 + read and sum(scored) - first <= 8192 + read
