@@ -18,10 +18,12 @@ from barvault.session import materialise
 BUCKETS = 1 << 14  # one half for words, one for pairs of words
 TARGET_ROWS = 50_000
 SEED = 29
-MARGIN = 5.0
-PRIOR = 16.0
+LOW = 0.002
+MARGIN = 2.0
+PRIOR = 0.5
 WORDS = 50
 
+
 def features(data: bytes | None, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
     """Bucket numbers of the words, runs of other signs, and pairs of neighbours in a UTF-8 text, piece by piece.
 
@@ -58,36 +60,44 @@ def count_features(docs: DataFrame, text: Column, is_target: Column, buckets: in
     return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> np.ndarray:
-    """log target share - log raw share of each bucket.
+def models(counts: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket's share of the raw text, and its count in the target.
 
-    The target model starts from ``prior`` counts a bucket dealt out like the raw ones, so that a small target does not
-    make what it has not seen impossible. The table has at most ``buckets`` rows, whatever the input's size. Without a
-    target all ratios are 0.
+    The table has at most ``buckets`` rows, whatever the input's size. A bucket starts with one raw count.
     """
     raw, target = np.ones(buckets), np.zeros(buckets)
     for row in counts.collect():
         raw[row["bucket"]] += row["raw"]
         target[row["bucket"]] += row["target"]
-    raw /= raw.sum()
-    if not target.sum():
-        return np.zeros(buckets)
-    target += 1 + prior * buckets * raw
-    return np.log(target / target.sum()) - np.log(raw)
+    return raw / raw.sum(), target
 
 
-def importance(text: Column, ratios: np.ndarray, words: int = WORDS) -> Column:
-    """Log importance weight of a text: how much likelier the target model makes it than the raw one.
+def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """log target share - log raw share of each bucket.
 
-    A longer text weighs like ``words`` words of its kind, or length would decide over kind.
+    The target model gets ``prior`` times its own counts on top, dealt out like the raw ones, so that what it has not
+    seen is not impossible, and raw text outweighs a small target as little as a large one. Without a target all ratios
+    are 0.
     """
+    if target.sum() <= 0:
+        return np.zeros(len(raw))
+    return np.log((target / target.sum() + prior * raw) / (1 + prior)) - np.log(raw)
+
+
+def _dampened(n: int, words: int) -> float:
+    """A longer text weighs like ``words`` words of its kind, or length would decide over kind."""
+    return min(1.0, 2 * words / max(n, 1))
+
+
+def importance(text: Column, ratios: np.ndarray, words: int = WORDS) -> Column:
+    """Log importance weight of a text: how much likelier the target model makes it than the raw one."""
     buckets = len(ratios)
 
     def weight(data: bytes | None) -> float:
         total, n = 0.0, 0
         for found in features(data, buckets):
             total, n = total + float(ratios[found].sum()), n + len(found)
-        return total * min(1.0, 2 * words / max(n, 1))
+        return total * _dampened(n, words)
 
     @F.pandas_udf("double")
     def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -97,6 +107,36 @@ def importance(text: Column, ratios: np.ndarray, words: int = WORDS) -> Column:
     return weigh(text.cast("binary"))
 
 
+def left_out(text: Column, raw: np.ndarray, target: np.ndarray, prior: float = PRIOR, words: int = WORDS) -> Column:
+    """Log importance weight of a target text by the model of the other target texts."""
+    buckets = len(raw)
+
+    def weight(data: bytes | None) -> float:
+        own = np.zeros(buckets)
+        for found in features(data, buckets):
+            own += np.bincount(found, minlength=buckets)
+        met = np.flatnonzero(own)
+        ratios = log_ratios(raw, target - own, prior)
+        return float(own[met] @ ratios[met]) * _dampened(int(own.sum()), words)
+
+    @F.pandas_udf("double")
+    def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([weight(data) for data in batch], dtype="float64")
+
+    return weigh(text.cast("binary"))
+
+
+def least_weight(targets: DataFrame, raw: np.ndarray, target: np.ndarray, prior: float, low: float) -> float | None:
+    """The weight that a share ``low`` of the target keys stay below, each weighed by a model that has not seen it.
+
+    ``targets`` has (_target, _text); a key with several texts counts with its least weight, so the percentile is
+    that of at most as many values as there are target keys. Null without a target.
+    """
+    weighed = targets.select("_target", left_out(F.col("_text"), raw, target, prior).alias("weight"))
+    return weighed.groupBy("_target").agg(F.min("weight").alias("weight")).agg(F.percentile("weight", low)).first()[0]
+
+
 def target_rows(labels: DataFrame, key: str, label: str, seed: int, most: int) -> DataFrame:
     """Keys labelled 1 in every one of their rows, at most ``most`` of them, chosen by a seeded hash."""
     good = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_target")).agg(F.min(label).alias("least"))
@@ -114,25 +154,32 @@ def resample(
     seed: int = SEED,
     margin: float = MARGIN,
     prior: float = PRIOR,
+    low: float = LOW,
     identity: Sequence[str] = (),
 ) -> DataFrame:
     """(row_id, key, log_weight, perturbed, selected) per row of ``docs``.
 
     The target model counts the documents labelled 1, at most ``most_targets`` of them; the raw model counts all
     documents. Gumbel noise from a seeded hash of key and text is added to the log weight, and the k largest sums
-    are selected: sampling without replacement in proportion to the weights. k is the number of documents that the raw
-    model does not make over e**margin times likelier than the target model. Ranks come from a distributed sort; ties
-    go by key. ``row_id`` stands for the columns of ``identity``, or for key and text. Null and empty texts weigh as 1
-    does (0 in logs). Repeated rows share weight and noise. Without labels all weights are equal and all rows are
-    selected; an empty table gives an empty result.
+    are selected: sampling without replacement in proportion to the weights. k is the number of documents that weigh at
+    least what target documents do that the model has not seen: each target document is weighed by the model of the
+    others, and all but a share ``low`` of these weights, less ``margin``, reach the cut. So the cut follows what the
+    labels can tell: with few of them all weights come closer, those of the target too.
+
+    Ranks come from a distributed sort; ties go by key. ``row_id`` stands for the columns of ``identity``, or for key
+    and text. Null and empty texts weigh as 1 does (0 in logs). Repeated rows share weight and noise. Without labels
+    all weights are equal and all rows are selected; with one target document, which leaves no other to weigh it, the
+    cut is ``margin`` below 0; an empty table gives an empty result.
     """
     ids = target_rows(labels, key, label, seed, most_targets)
     # at most most_targets keys of eight bytes
     flagged = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(
         F.broadcast(ids), F.col("_key") == F.col("_target"), "left"
     )
-    ratios = log_ratios(count_features(flagged, F.col("_text"), F.col("_target").isNotNull(), buckets), buckets, prior)
+    raw, target = models(count_features(flagged, F.col("_text"), F.col("_target").isNotNull(), buckets), buckets)
+    ratios = log_ratios(raw, target, prior)
     small_batches(docs.sparkSession)
+    least = least_weight(flagged.where("_target IS NOT NULL"), raw, target, prior, low) or 0.0
     noise = -F.log(-F.log(uniform(seed, key, text)))
     scored = materialise(
         docs.select(
@@ -142,6 +189,6 @@ def resample(
             noise.alias("noise"),
         )
     ).select("row_id", "key", "log_weight", (F.col("log_weight") + F.col("noise")).alias("perturbed"))
-    k = scored.where(F.col("log_weight") >= -margin).count()
+    k = scored.where(F.col("log_weight") >= least - margin).count()
     ranked = numbered(scored, [F.desc("perturbed"), F.asc_nulls_last("key"), "row_id"], "nth")
     return ranked.withColumn("selected", F.col("nth") < k).drop("nth")

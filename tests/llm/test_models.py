@@ -51,29 +51,50 @@ def test_counts_and_weights_are_those_of_plain_loops(spark):
         target += np.bincount(found, minlength=256) * (i in good)
     got = {r["bucket"]: (r["raw"], r["target"]) for r in counts.collect()}
     assert got == {b: (raw[b], target[b]) for b in np.flatnonzero(raw)}
-    ratios = quality.log_ratios(counts, 256, prior=2.0)
+    ratios = quality.log_ratios(*quality.models(counts, 256), prior=2.0)
     share = (raw + 1) / (raw + 1).sum()
-    wanted = target + 1 + 2.0 * 256 * share
+    wanted = target + 2.0 * target.sum() * share
     assert ratios == pytest.approx(np.log(wanted / wanted.sum()) - np.log(share))
     weights = docs.select("doc_id", quality.importance(F.col("text"), ratios).alias("w")).collect()
     for row in weights:
         found = each[row["doc_id"]]
         assert row["w"] == pytest.approx(ratios[found].sum() * min(1, 100 / max(1, len(found))))
+    targets = docs.where("good").select(F.col("doc_id").alias("_target"), F.col("text").alias("_text"))
+    unseen = []
+    for i in good:
+        others = sum(np.bincount(each[j], minlength=256) for j in good if j != i)
+        ratios = np.log((others / others.sum() + 2.0 * share) / 3.0 / share)
+        unseen.append(ratios[each[i]].sum() * min(1, 100 / max(1, len(each[i]))))
+    assert quality.least_weight(targets, *quality.models(counts, 256), 2.0, 0.0) == pytest.approx(min(unseen))
+    assert quality.least_weight(targets, *quality.models(counts, 256), 2.0, 0.5) == pytest.approx(np.median(unseen))
+    assert quality.least_weight(targets.limit(0), share, target, 2.0, 0.5) is None
 
 
 def test_the_k_largest_perturbed_weights_are_selected(spark):
     rows = [(i, t + " junk !!" * (40 if i % 5 == 0 else 0)) for i, t in enumerate(random_texts(3, 200, 60))]
     marked = labels(spark, [(i, int(i % 5 != 0), 0) for i in range(0, 200, 2)])
     docs = documents(spark, rows)
-    found = quality.resample(docs, marked, buckets=256, prior=1.0).toPandas().sort_values("perturbed", ascending=False)
-    k = int((found["log_weight"] >= -quality.MARGIN).sum())
+    found = quality.resample(docs, marked).toPandas().sort_values("perturbed", ascending=False)
+    k = int(found["selected"].sum())
     assert found["selected"].tolist() == [True] * k + [False] * (200 - k)
     junk = found["key"] % 5 == 0
     assert not found[junk]["selected"].any() and found[~junk]["selected"].mean() > 0.95
-    again = quality.resample(docs.repartition(5), marked, buckets=256, prior=1.0).toPandas().sort_values("perturbed", ascending=False)
+    again = quality.resample(docs.repartition(5), marked).toPandas().sort_values("perturbed", ascending=False)
     assert again["key"].tolist() == found["key"].tolist()
 
 
+@needs_tables
+@pytest.mark.parametrize(("share", "kept", "junk"), [(5, 0.85, 0.5), (15, 0.94, 0.1), (50, 0.98, 0.05)])
+def test_quality_with_few_labels(spark, share, kept, junk):
+    """Held-out labels, with production parameters; 5 % are some 20 good documents, on which the cut depends much."""
+    path = SF_DIR.replace("0.001", "0.01")
+    docs, marked = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    known = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(100)) < share
+    chosen = quality.resample(docs, marked.where(known))
+    held = chosen.join(marked.where(~known), F.col("key") == F.col("doc_id")).toPandas()
+    assert held[held.quality == 1].selected.mean() >= kept and held[held.quality == 0].selected.mean() <= junk
+
+
 def test_quality_of_awkward_rows(spark):
     marked = labels(spark, [(1, 1, 0), (2, 1, 0), (2, 0, 0), (None, 1, 0), (7, None, None)])
     docs = with_clashes(documents(spark, AWKWARD))

@@ -99,13 +99,22 @@ def plain_good(spark, rows, good):
             raw[bucket] += 1
             target[bucket] += row[0] in good
     raw /= raw.sum()
-    target += 1 + quality.PRIOR * quality.BUCKETS * raw
-    ratios = np.log(target / target.sum()) - np.log(raw)
-    weights = [sum(ratios[f]) * min(1, 2 * quality.WORDS / max(len(f), 1)) for f in each]
+
+    def weight(found, target):
+        ratios = np.log((target / target.sum() + quality.PRIOR * raw) / (1 + quality.PRIOR) / raw)
+        return sum(ratios[found]) * min(1, 2 * quality.WORDS / max(len(found), 1))
+
+    weights = [weight(found, target) for found in each]
+    unseen = {}
+    for row, found in zip(rows, each, strict=True):
+        if row[0] in good:
+            others = weight(found, target - np.bincount(found, minlength=quality.BUCKETS))
+            unseen[row[0]] = min(others, unseen.get(row[0], others))
+    cut = np.quantile(list(unseen.values()), quality.LOW) - quality.MARGIN
     draws = documents(spark, rows).select("doc_id", "text", uniform(quality.SEED, "doc_id", "text").alias("u")).collect()
     noise = {(r["doc_id"], r["text"]): -np.log(-np.log(r["u"])) for r in draws}
     ranked = sorted(range(len(rows)), key=lambda i: (-weights[i] - noise[rows[i][:2]], rows[i][0]))
-    return [rows[i] for i in ranked[: sum(w >= -quality.MARGIN for w in weights)]]
+    return [rows[i] for i in ranked[: sum(w >= cut for w in weights)]]
 
 
 def plain_mix(spark, rows):
