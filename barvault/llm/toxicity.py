@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,40 +62,47 @@ def _hashes(words: Iterable[str]) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-#: hash of a term -> all features of the term, all features of the one that takes its place
+#: hash of a term -> all features of the one that takes its place
 _SWAPS = {
-    int(_hashes([term])[0]): (_hashes([term]), _hashes([group[(i + 1) % len(group)]]))
+    int(_hashes([term])[0]): _hashes([group[(i + 1) % len(group)]])
     for group in IDENTITY_TERMS
     for i, term in enumerate(group)
 }
 _TERMS = np.sort(np.array(list(_SWAPS), dtype=np.uint64))
 
 
+def _features(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words between ``start`` and ``end``, and of their stems."""
+    found = [rolling.span_hash(sums, start, end)]
+    for size in STEMS:
+        long = end - start > size
+        found.append(rolling.span_hash(sums, start[long], start[long] + size) + np.uint64(size))
+    return np.concatenate(found)
+
+
 def word_features(data: bytes | None) -> Iterator[np.ndarray]:
     """Hashes of the lower-cased words of a UTF-8 text and of their stems of 5 to 8 bytes, piece by piece."""
     for piece in rolling.pieces(data or b""):
         letters = rolling.lowered(np.frombuffer(piece, np.uint8))
-        start, end = rolling.tokens(letters, marks=False)
-        sums = rolling.prefixes(letters)
-        found = [rolling.span_hash(sums, start, end)]
-        for size in STEMS:
-            long = end - start > size
-            found.append(rolling.span_hash(sums, start[long], start[long] + size) + np.uint64(size))
-        yield np.concatenate(found)
+        yield _features(rolling.prefixes(letters), *rolling.tokens(letters, marks=False))
 
 
-def swapped(features: np.ndarray) -> np.ndarray | None:
+def swapped(data: bytes | None) -> np.ndarray | None:
     """The distinct features after every identity term was replaced; None for a text without such terms.
 
-    The words around a term do not matter to features of single words, so a swapped sentence differs from its
-    original in the features of the terms only.
+    A stem that a term shares with another word of the text stays. The words around a term do not matter to features
+    of single words, so a swapped sentence differs from its original in the features of the terms only.
     """
-    terms = _TERMS[np.isin(_TERMS, features)]
-    if not len(terms):
-        return None
-    gone = np.concatenate([_SWAPS[int(t)][0] for t in terms])
-    come = np.concatenate([_SWAPS[int(t)][1] for t in terms])
-    return np.union1d(np.setdiff1d(features, gone), come)
+    found, any_term = [], False
+    for piece in rolling.pieces(data or b""):
+        letters = rolling.lowered(np.frombuffer(piece, np.uint8))
+        sums, (start, end) = rolling.prefixes(letters), rolling.tokens(letters, marks=False)
+        words = rolling.span_hash(sums, start, end)
+        term = np.isin(words, _TERMS)
+        found.append(_features(sums, start[~term], end[~term]))
+        found.extend(_SWAPS[int(t)] for t in np.unique(words[term]))
+        any_term |= bool(term.any())
+    return np.unique(np.concatenate(found)) if any_term else None
 
 
 class Chosen:
@@ -181,7 +188,7 @@ def _training_rows(train: DataFrame, chosen: Chosen) -> tuple[np.ndarray, list[n
             for data in batch["text"]:
                 features = _distinct(data)
                 here = chosen.members(features)
-                other = swapped(features)
+                other = swapped(data)
                 there = here if other is None else chosen.members(other)
                 own.append(here.astype("<i4").tobytes())
                 gone, come = np.setdiff1d(here, there), np.setdiff1d(there, here)
@@ -270,22 +277,40 @@ class Model:
 
     def score(self, text: Column) -> Column:
         """Likelihood, from 0 to 1, that a text is toxic; null and empty texts get that of a text without features."""
-        hashes, weights, bias = self.hashes, self.weights, self.bias
+        return self._of(text, lambda chosen, data: self._likelihood(_met(chosen, data)))
+
+    def gap(self, text: Column) -> Column:
+        """How far the score moves when the identity terms of a text are swapped; 0 for a text without any."""
+
+        def moved(chosen: Chosen, data: bytes | None) -> float:
+            other = swapped(data)
+            if other is None:
+                return 0.0
+            return abs(self._likelihood(chosen.members(other)) - self._likelihood(_met(chosen, data)))
+
+        return self._of(text, moved)
+
+    def _likelihood(self, members: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[members].sum(), -35, 35))))
+
+    def _of(self, text: Column, value: Callable[[Chosen, bytes | None], float]) -> Column:
+        hashes = self.hashes
 
         @F.pandas_udf("double")
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             chosen = Chosen(hashes)
             for batch in batches:
-                out = []
-                for data in batch:
-                    met = [chosen.members(found) for found in word_features(data)]
-                    logit = bias + (weights[np.unique(np.concatenate(met))].sum() if met else 0.0)
-                    out.append(1 / (1 + np.exp(-np.clip(logit, -35, 35))))
-                yield pd.Series(out, dtype="float64")
+                yield pd.Series([value(chosen, data) for data in batch], dtype="float64")
 
         return of(text.cast("binary"))
 
 
+def _met(chosen: Chosen, data: bytes | None) -> np.ndarray:
+    """Numbers of the chosen features that occur in a text, ascending."""
+    met = [chosen.members(found) for found in word_features(data)]
+    return np.unique(np.concatenate(met)) if met else np.empty(0, np.int64)
+
+
 def _drawn(joined: DataFrame, rows: int, seed: int) -> DataFrame:
     """(_row): at most ``rows`` of the different (_id, _row), one of each _id before a second one of any."""
     order = F.struct(F.xxhash64(F.lit(seed), "_row").alias("hash"), "_row")
@@ -314,8 +339,9 @@ def train_model(
     A key labelled twice takes the larger label; null keys and labels teach nothing. Equal rows teach once; a key with
     several texts teaches one of them, and more only where not every key is needed for the ``rows``. The sample is the
     only data that is bounded, and it is a parameter: its keys are broadcast, candidate words and their counts are gathered by
-    tasks, and the fit sees the numbers of the at most ``features`` telling words of each sampled text. Without
-    labels, or with one kind only, the model has no words and scores by the share of label 1.
+    tasks, and the fit sees the numbers of the at most ``features`` telling words of each sampled text; larger
+    ``candidates`` and ``features`` admit rarer and less telling words. Texts are read whole, however long. Ties go by
+    hash. Without labels, or with one kind only, the model has no words and scores by the share of label 1.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -345,7 +371,8 @@ def score_toxicity(
 ) -> DataFrame:
     """(key, held_out, score, predicted) per row of ``docs``, learnt from the labels that are not held out.
 
-    Only the text makes the score. Repeated rows are scored alike; an empty table gives an empty result.
+    Only the text makes the score. Null and empty texts score as a text without telling words; long ones are read whole.
+    A score equal to ``threshold`` is predicted 1. Repeated rows are scored alike; an empty table gives an empty result.
     """
     model = train_model(docs, labels.where(~held_out(key)), key, text, **training)
     small_batches(docs.sparkSession)

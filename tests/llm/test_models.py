@@ -135,6 +135,107 @@ def test_counterfactual_penalty_spares_neutral_mentions(spark):
     assert scores[100.0][1] < 0.5 and abs(scores[100.0][1] - scores[100.0][2]) < 0.05
 
 
+def plain_words(text):
+    import re
+
+    return [bytes(w).lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())]
+
+
+def plain_features(words):
+    """(size of the stem or 0, letters) of every word."""
+    return {(0, w) for w in words} | {(n, w[:n]) for w in words for n in (5, 6, 7, 8) if len(w) > n}
+
+
+def hashed(features):
+    """Feature hashes by the definition of the rolling hash: of the letters, plus the size of a stem."""
+    out = {}
+    for size, word in features:
+        letters = np.frombuffer(word, np.uint8)
+        whole = rolling.span_hash(rolling.prefixes(letters), np.array([0]), np.array([len(letters)]))[0]
+        out[(int(whole) + size) % 2**64] = (size, word)
+    return out
+
+
+TERMED = ["A Muslim and a christian, Christmas!", "musl muslims jewish", "the WOMAN", "", None, "nothing here", "Frauen männer frau"]
+
+
+def test_word_features_and_swaps_are_those_of_plain_loops(monkeypatch):
+    monkeypatch.setattr(rolling.pieces, "__defaults__", (64,))
+    nexts = {
+        t.encode(): group[(i + 1) % len(group)].encode() for group in toxicity.IDENTITY_TERMS for i, t in enumerate(group)
+    }
+    for text in [*TERMED, *random_texts(5, 30, 60), " ".join(TERMED[:3] * 20)]:
+        data, words = None if text is None else text.encode(), plain_words(text)
+        got = set(np.concatenate([*toxicity.word_features(data), np.empty(0, np.uint64)]).tolist())
+        assert got == set(hashed(plain_features(words)))
+        other = toxicity.swapped(data)
+        if not any(w in nexts for w in words):
+            assert other is None
+        else:
+            assert set(other.tolist()) == set(hashed(plain_features([nexts.get(w, w) for w in words])))
+
+
+def test_telling_words_and_scores_are_those_of_plain_loops(spark):
+    docs, marked = biased(spark)
+    model = toxicity.train_model(docs, marked, counterfactual=10.0)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    each = {i: plain_features(plain_words(t)) for i, t in texts.items()}
+    toxic = [i for i in texts if i % 4 == 0]
+    times, all_times = {}, {}
+    for i, found in each.items():
+        for f in found:
+            all_times[f] = all_times.get(f, 0) + 1
+            times[f] = times.get(f, 0) + (i % 4 == 0)
+    telling = set()
+    for f, n in times.items():
+        if n < toxicity.LEAST_POSITIVES:
+            continue
+        bad, good = n + 0.5, all_times[f] - n + 0.5
+        odds = np.log(bad / (len(toxic) + 1)) - np.log(good / (len(texts) - len(toxic) + 1))
+        if odds - toxicity.LEAST_Z * np.sqrt(1 / bad + 1 / good) > 0:
+            telling.add(f)
+    weights = dict(zip(model.hashes.tolist(), model.weights, strict=True))
+    names = hashed(telling)
+    assert telling and set(weights) == set(names)
+
+    def plain_score(words):
+        there = plain_features(words)
+        return 1 / (1 + np.exp(-(model.bias + sum(w for h, w in weights.items() if names[h] in there))))
+
+    asked = documents(spark, list(enumerate([*TERMED, *list(texts.values())[:60]])))
+    nexts = {t.encode(): g[(i + 1) % len(g)].encode() for g in toxicity.IDENTITY_TERMS for i, t in enumerate(g)}
+    for r in asked.select("text", model.score(F.col("text")).alias("s"), model.gap(F.col("text")).alias("g")).collect():
+        words = plain_words(r["text"])
+        assert r["s"] == pytest.approx(plain_score(words))
+        assert r["g"] == pytest.approx(abs(plain_score([nexts.get(w, w) for w in words]) - r["s"]), abs=1e-12)
+
+
+def gap_of_injected_terms(spark, folder, counterfactual):
+    """Mean gap over held-out texts with an identity term put in, by a model whose training texts are biased by it.
+
+    The given texts have no identity terms. Most toxic training texts and few others get one here; whether a term
+    stands in a held-out text depends on nothing.
+    """
+    docs, marked = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.held_out("doc_id")
+    joined = docs.select("doc_id", "text").join(marked, "doc_id")
+    draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(100))
+    mention = F.when(draw < F.when(F.col("toxic") == 1, 80).otherwise(2), F.concat(F.lit("Muslim "), "text"))
+    training = joined.where(~held).withColumn("text", F.coalesce(mention, F.col("text")))
+    model = toxicity.train_model(training.select("doc_id", "text"), marked, counterfactual=counterfactual)
+    neutral = joined.where(held & (F.col("toxic") == 0)).select(F.concat(F.lit("Muslim "), "text").alias("text"))
+    flagged = (model.score(F.col("text")) >= toxicity.THRESHOLD).cast("int")
+    return neutral.agg(F.avg(model.gap(F.col("text"))), F.avg(flagged)).first()
+
+
+@needs_tables
+def test_gap_of_terms_put_into_held_out_texts(spark):
+    folder = SF_DIR.replace("0.001", "0.01")
+    free, tied = (gap_of_injected_terms(spark, folder, c) for c in (0.0, toxicity.COUNTERFACTUAL))
+    print("gap, share flagged: without the penalty", tuple(free), "with it", tuple(tied))
+    assert free[0] > 0.05 and tied[0] < free[0] / 4 and tied[1] <= free[1]
+
+
 def test_fit_minimises_its_loss():
     r = np.random.default_rng(2)
     own = [np.flatnonzero(r.random(6) < 0.4).astype("<i4") for _ in range(80)]
