@@ -85,8 +85,9 @@ def linking_pairs(fingerprints: DataFrame, distance: int = DISTANCE, column: str
         raise ValueError("the distance must be from 0 to 4 bits")
     inner, outer = distance // 2, distance - distance // 2
     own = fingerprints.select(F.col(column).alias("f")).where("f IS NOT NULL").distinct()
-    # a stated number of partitions: by the few bytes of fingerprints Spark would emit all variants in a few tasks
-    own = own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f")
+    # a stated number of partitions: by the few bytes of fingerprints Spark would emit all variants in a few tasks. By a
+    # hash of f, as a repartition by f itself repeats that of distinct() and is left out
+    own = own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("f"))
     emitted = own.select("f", F.explode(_ball(F.col("f"), outer)).alias("variant"))
     near = F.bit_count(F.col("f").bitwiseXOR(F.col("variant"))) <= inner
     centre = F.min(F.when(near, F.col("f"))).over(Window.partitionBy("variant"))
