@@ -370,23 +370,18 @@ def j9(spark, sf_dir):
 def j10(spark, sf_dir):
     """Double names, buyers without orders, lines without parents, over-long segments."""
     customer, lineitem = t(spark, sf_dir, "customer"), t(spark, sf_dir, "lineitem")
-    reports = [
-        audit.duplicate_keys(t(spark, sf_dir, "part"), "part", "p_name"),
-        audit.orphans(customer, "customer", "c_custkey", t(spark, sf_dir, "orders"), "o_custkey", "c_custkey"),
-        audit.orphans(lineitem, "lineitem", "l_orderkey", t(spark, sf_dir, "orders"), "o_orderkey", "l_orderkey"),
-        audit.orphans(lineitem, "lineitem", "l_partkey", t(spark, sf_dir, "part"), "p_partkey", "l_orderkey"),
-        audit.orphans(lineitem, "lineitem", "l_suppkey", t(spark, sf_dir, "supplier"), "s_suppkey", "l_orderkey"),
-        audit.value_violations(
-            customer,
-            "customer",
-            [Col("c_mktsegment", "string", 8, True), Col("c_name", "string", 18, True)],
-            "c_custkey",
-        ),
-    ]
-    out = reports[0]
-    for report in reports[1:]:
-        out = out.unionByName(report)
-    return out
+    orders = t(spark, sf_dir, "orders")
+    widths = [Col("c_mktsegment", "string", 8, True), Col("c_name", "string", 18, True)]
+    buyers = {"c_custkey": (orders, "o_custkey")}
+    lines = {
+        "l_orderkey": (orders, "o_orderkey"),
+        "l_partkey": (t(spark, sf_dir, "part"), "p_partkey"),
+        "l_suppkey": (t(spark, sf_dir, "supplier"), "s_suppkey"),
+    }
+    double = audit.duplicate_keys(t(spark, sf_dir, "part"), "part", "p_name")
+    return double.unionByName(audit.row_violations(customer, "customer", widths, buyers, "c_custkey")).unionByName(
+        audit.row_violations(lineitem, "lineitem", parents=lines, key="l_orderkey")
+    )
 
 
 @register("j1_star_join")
