@@ -1,4 +1,7 @@
-"""One row per series: counts, last IDs, first and last candles. All aggregate partially before the shuffle."""
+"""One row per series: counts, last IDs, first and last candles. All aggregate partially before the shuffle.
+
+The same summaries come from the archive's kept totals (``CandleArchive.totals``) by ``kept_*``, which read no candles.
+"""
 
 from __future__ import annotations
 
@@ -45,13 +48,15 @@ def latest_candle(candles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def last_price(candles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Close of the last candle, its direction and its label."""
     last = candles.groupBy("asset_class", *keys).agg(_at_latest("open"), _at_latest("close"))
-    return last.select(
-        "asset_class",
-        *keys,
-        F.col("close").alias("last_close"),
-        prices.candle_class(F.col("open"), F.col("close")).alias("direction"),
-        text.price_label(F.col("close"), F.col("asset_class")).alias("label"),
-    )
+    return last.select("asset_class", *keys, *_price(F.col("open"), F.col("close")))
+
+
+def _price(open_: Column, close: Column) -> list[Column]:
+    return [
+        close.alias("last_close"),
+        prices.candle_class(open_, close).alias("direction"),
+        text.price_label(close, F.col("asset_class")).alias("label"),
+    ]
 
 
 def extents(candles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -76,3 +81,40 @@ def axis_bounds(high: Column, low: Column, volume: Column, rows: Column) -> list
         ((rows * F.lit(1.032)).cast("bigint") + 1).alias("x_bound"),
         (volume * F.lit(1.35)).alias("volume_top"),
     ]
+
+
+# --- from kept totals --------------------------------------------------------------------------------------------
+def _kept(totals: DataFrame, registry: DataFrame | None, keys: Sequence[str], *values: Column) -> DataFrame:
+    rows = totals.select(*keys, *values)
+    return rows if registry is None else registry.join(rows, list(keys), "left")
+
+
+def kept_row_counts(totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return _kept(totals, None, keys, F.col("rows"))
+
+
+def kept_latest_timestamp(totals: DataFrame, registry: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    return _kept(totals, registry, keys, F.col("latest"))
+
+
+def kept_last_id(totals: DataFrame, registry: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    return _kept(totals, registry, keys, F.col("last_id"))
+
+
+def kept_earliest_point(totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return _kept(totals, None, keys, F.col("earliest").alias("datetime"), clock.unix_seconds(F.col("earliest")).alias("unix_time"))
+
+
+def kept_latest_candle(totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    # stored IDs rise with time, so the candle of the last ID is the latest one
+    values = [F.col(f"last_{c}").alias(c) for c in ("open", "close", "high", "low", "volume")]
+    return _kept(totals, None, keys, F.col("latest").alias("datetime"), *values)
+
+
+def kept_last_price(totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    others = [c for c in keys if c != "asset_class"]
+    return totals.select("asset_class", *others, *_price(F.col("last_open"), F.col("last_close")))
+
+
+def kept_extents(totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return _kept(totals, None, keys, *axis_bounds(F.col("high"), F.col("low"), F.col("volume"), F.col("rows")))

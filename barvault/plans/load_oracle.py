@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barvault.plans.oracle import _ROW, MID, NAMED, ORACLE, _landed, bars, candles
+from barvault.plans.oracle import _ROW, BOUNDS, MID, NAMED, ORACLE, _landed, _price_label, bars, candles
 
 __all__ = ["ORACLE"]
 
@@ -75,6 +75,24 @@ SELECT * FROM candles WHERE series_key <> 'click' AND NOT (series_key = 'error'
     AND NOT (series_key = 'purchase' AND "ID" = 0)""",
     "a1_kept_totals": f"""WITH {candles('1min')},
 kept AS (SELECT * FROM candles WHERE NOT (series_key = 'error' AND "ID" = 3)) {_TOTALS}""",
+    "a1_kept_summaries": f"""WITH {candles('1day')},
+kept AS (
+    SELECT * FROM candles WHERE NOT (series_key = 'error' AND "ID" = 3)
+        AND NOT (series_key = 'purchase' AND "ID" = (SELECT max("ID") FROM candles WHERE series_key = 'purchase'))
+),
+{BOUNDS.replace('FROM candles', 'FROM kept')},
+newest AS (
+    SELECT *, datetime AS latest_time FROM kept QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY datetime DESC) = 1
+),
+spans AS (
+    SELECT series_key, count(*) AS "rows", arg_max(datetime, "ID") AS latest, max("ID") AS last_id, min(datetime) AS first
+    FROM kept GROUP BY 1
+)
+SELECT series_key, latest_time, open, close, high, low, volume, "rows", latest, last_id, first AS datetime,
+       CAST(epoch(first) AS BIGINT) AS unix_time, asset_class, last_close,
+       CASE WHEN last_close > last_open THEN 'bull' WHEN last_close < last_open THEN 'bear' ELSE 'neutral' END AS direction,
+       {_price_label('last_close')} AS label, chart_bottom, chart_top, x_bound, volume_top
+FROM newest JOIN spans USING (series_key) JOIN bounds USING (series_key)""",
     "r1_lagging_series": f"""WITH {bars('1day')}, {NAMED.format(source='bars')},
 told AS (
     SELECT *, series_key = 'signup' AND datetime BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-08' AS late FROM named

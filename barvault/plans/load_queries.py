@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barvault.functions import text
+from barvault.operators import summaries
 from barvault.plans import adapters
 from barvault.plans.registered import MID, REGISTERED, filled, landed_pages, new_warehouse, register, symbols_of
-from barvault.session import fresh_folder
+from barvault.session import fresh_folder, materialise
 from barvault.sources import landing
 from barvault.sources.archive import SERIES
 from barvault.streaming import ingest
@@ -140,7 +141,29 @@ def a1_totals(spark, sf_dir):
     """Rows, IDs, times, extremes and last prices per series, from the summaries of the months after a delete."""
     archive = filled(spark, sf_dir, "1min")
     archive.delete_row("equity", "1min", "error", 3)
-    return archive.totals()
+    return archive.totals().drop("last_high", "last_low", "last_volume")
+
+
+@register("a1_kept_summaries")
+def kept_summaries(spark, sf_dir):
+    """All summaries of series, chart bounds included, from the kept totals, after a candle in between and the last candle of
+    a series were deleted; no candle is read for them."""
+    archive = filled(spark, sf_dir)
+    archive.delete_row("equity", "1day", "error", 3)
+    last = archive.progress().where("series_key = 'purchase'").first().last_id
+    archive.delete_row("equity", "1day", "purchase", last)
+    totals = materialise(archive.totals())
+    out = summaries.kept_latest_candle(totals).withColumnRenamed("datetime", "latest_time")
+    for one in (
+        summaries.kept_row_counts(totals),
+        summaries.kept_latest_timestamp(totals),
+        summaries.kept_last_id(totals),
+        summaries.kept_earliest_point(totals),
+        summaries.kept_last_price(totals),
+        summaries.kept_extents(totals),
+    ):
+        out = out.join(one, "series_key")
+    return out
 
 
 @register("r1_lagging_series")

@@ -36,13 +36,14 @@ PARTITION = ("asset_class", "time_interval", "period")
 ATTEMPTS = 20  # starts of a write that always finds another writer ahead
 LATE, UNREGISTERED = "late", "unregistered"
 
+_LAST = ("open", "close", "high", "low", "volume")  # kept of the last candle of a month
 _VALUES = tuple(c for c in COLUMNS if c != "ID")
 _SET_ASIDE = f"{schemas.CANDLES.replace('ID bigint, ', '')}, reason string"
 _REJECTS = "source_file string, page string, value_pos int, time_interval string, series_key string, field string, value string, problem string"
 _MONTHS = (
     f"{schemas.REGISTRY}, period date, rows bigint, first_id bigint, last_id bigint, earliest timestamp_ntz, "
     f"latest timestamp_ntz, high {schemas.PRICE}, low {schemas.PRICE}, volume bigint, last_open {schemas.PRICE}, "
-    f"last_close {schemas.PRICE}, whole boolean"
+    f"last_close {schemas.PRICE}, last_high {schemas.PRICE}, last_low {schemas.PRICE}, last_volume bigint, whole boolean"
 )
 
 
@@ -164,12 +165,12 @@ class CandleArchive:
         return rows.groupBy(*keys).agg(
             F.sum("rows").alias("rows"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"),
             F.min("earliest").alias("earliest"), at_last("latest"), F.max("high").alias("high"),
-            F.min("low").alias("low"), F.max("volume").alias("volume"), at_last("last_open"), at_last("last_close"),
+            F.min("low").alias("low"), F.max("volume").alias("volume"), *[at_last(f"last_{c}") for c in _LAST],
         )
 
     def totals(self) -> DataFrame:
         """One row per series that holds candles, from the summaries of its months: rows, first and last ID, earliest and
-        latest time, extremes, open and close of the last candle."""
+        latest time, extremes, values of the last candle. ``summaries.kept_*`` turn them into the summaries of series."""
         return self._merged(self.months(), SERIES)
 
     def progress(self, base: Snapshot | None = None) -> DataFrame:
@@ -354,8 +355,7 @@ class CandleArchive:
         return rows.groupBy(*SERIES, "period").agg(
             F.count(F.lit(1)).alias("rows"), F.min("ID").alias("first_id"), F.max("ID").alias("last_id"),
             F.min("datetime").alias("earliest"), F.max_by("datetime", "ID").alias("latest"), F.max("high").alias("high"),
-            F.min("low").alias("low"), F.max("volume").alias("volume"), F.max_by("open", "ID").alias("last_open"),
-            F.max_by("close", "ID").alias("last_close"),
+            F.min("low").alias("low"), F.max("volume").alias("volume"), *[F.max_by(c, "ID").alias(f"last_{c}") for c in _LAST],
         ).withColumn("whole", whole)
 
     def drop_series(self, asset_class: str, time_interval: str, series_key: str) -> None:

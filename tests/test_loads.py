@@ -295,6 +295,18 @@ def check_totals(archive):
     same(totals.select(*keys, *bounds), summaries.extents(candles, keys))
     last = summaries.latest_candle(candles, keys).select(*keys, F.col("open").alias("last_open"), F.col("close").alias("last_close"))
     same(totals.select(*keys, "last_open", "last_close"), last)
+    for kept, scanned in (
+        (summaries.kept_row_counts, summaries.row_counts),
+        (summaries.kept_earliest_point, summaries.earliest_point),
+        (summaries.kept_latest_candle, summaries.latest_candle),
+        (summaries.kept_extents, summaries.extents),
+    ):
+        same(kept(totals, keys), scanned(candles, keys))
+    others = [k for k in keys if k != "asset_class"]
+    same(summaries.kept_last_price(totals, keys), summaries.last_price(candles, others))
+    registry = archive.registry()
+    same(summaries.kept_last_id(totals, registry, keys), summaries.last_id(candles, registry, keys))
+    same(summaries.kept_latest_timestamp(totals, registry, keys), summaries.latest_timestamp(candles, registry, keys))
 
 
 def test_deletes_are_tombstones_until_they_are_folded(spark, archive):  # noqa: F811
@@ -345,6 +357,8 @@ def test_by_id_reads_its_month(spark, archive):  # noqa: F811
     assert [r.ID for r in archive.by_id("equity", "1day", "A", 190, 500).orderBy("ID").collect()] == list(range(190, 200))
     assert archive.by_id("equity", "1day", "A", 200).count() == archive.by_id("equity", "1day", "B", 0).count() == 0
     assert "candles" not in "".join(archive.totals().inputFiles())
+    for kept in (summaries.kept_extents, summaries.kept_latest_candle, summaries.kept_last_price):
+        assert "candles" not in "".join(kept(archive.totals(), list(SERIES)).inputFiles())
 
 
 # --- series at different paces -----------------------------------------------------------------------------------

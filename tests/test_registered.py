@@ -14,7 +14,8 @@ CHECKED = (
     "p1_candle_view p8_point_lookup_doubles p10_id_range_requests p11_range_fetch p11_latest_before p13_resolve_series "
     "c4_id_bracket j4_tracked_indexes j8_known_customers j10_constraint_audit j11_nearest_after j1_star_join "
     "a6_latest_candle a9_streak_summary c5_chart_frame_1min c5_chart_frame_1day f14_page_estimate s7_error_envelope "
-    "s8_page_stitch r1_lagging_series s5_quarantined_load s5_stored_rejects s8_page_chains s14_folded_deletes a1_kept_totals"
+    "s8_page_stitch r1_lagging_series s5_quarantined_load s5_stored_rejects s8_page_chains s14_folded_deletes a1_kept_totals "
+    "a1_kept_summaries"
 ).split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
