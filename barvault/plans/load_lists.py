@@ -12,12 +12,12 @@ from barvault.session import materialise
 
 def load_lists(forex_list: DataFrame, exchange_list: DataFrame, equity_list: DataFrame) -> dict[str, DataFrame]:
     """Numbered tables, keys resolved. ``stock_rejects`` holds equities with a required key that found nothing."""
-    currencies = d.currencies(forex_list)
-    groups = d.forex_currency_groups(forex_list)
-    timezones, countries, plans = d.timezones(exchange_list), d.countries(exchange_list), d.plans(exchange_list)
-    types = d.investment_types(equity_list)
-    markets = d.markets(exchange_list, plans, timezones, countries)
-    stocks = d.stocks_with_rejects(equity_list, currencies, markets, countries, types, plans)
+    # tables that others look up in, and the stocks that are both accepted and rejected, are written once
+    currencies, groups = materialise(d.currencies(forex_list)), materialise(d.forex_currency_groups(forex_list))
+    timezones, countries = materialise(d.timezones(exchange_list)), materialise(d.countries(exchange_list))
+    plans, types = materialise(d.plans(exchange_list)), materialise(d.investment_types(equity_list))
+    markets = materialise(d.markets(exchange_list, plans, timezones, countries))
+    stocks = materialise(d.stocks_with_rejects(equity_list, currencies, markets, countries, types, plans))
     return {
         "currencies": currencies,
         "forex_currency_groups": groups,
